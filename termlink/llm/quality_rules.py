@@ -27,29 +27,25 @@ HOST_FAILS_FROM = 0.5
 
 def words(text: Column) -> Column:
     """Words of a text, none for null."""
-    parts = F.split(F.coalesce(text, F.lit("")), SEPARATORS)
-    inner = F.when(F.get(parts, F.lit(0)) == "", F.slice(parts, 2, F.size(parts))).otherwise(parts)  # leading separator
-    n = F.size(inner)
-    return F.when(F.get(inner, n - 1) == "", F.slice(inner, 1, n - 1)).otherwise(inner)
+    return F.filter(F.split(F.coalesce(text, F.lit("")), SEPARATORS), lambda x: x != "")
 
 
-def _repeated(hashes: Column) -> Column:
-    """Words inside windows that occur at least twice, from the windows' hashes in order."""
-    pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    n = F.size(pairs)
+def _twins(pairs: Column) -> Column:
+    """Places of windows that have an equal one, in order; pairs: (hash, place), sorted."""
+    same = lambda x, i: F.coalesce(F.get(pairs, i)["h"] == x["h"], F.lit(False))
+    return F.array_sort(F.transform(F.filter(pairs, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["i"]))
 
-    def twin(x: Column, i: Column) -> Column:
-        return (F.get(pairs, i - 1)["h"] == x["h"]) | (F.get(pairs, i + 1)["h"] == x["h"])
 
-    at = F.array_sort(F.transform(F.filter(pairs, lambda x, i: F.coalesce(twin(x, i), F.when(i == 0, F.get(pairs, i + 1)["h"] == x["h"]).otherwise(F.get(pairs, i - 1)["h"] == x["h"]), F.lit(False))), lambda x: x["i"]))
+def _covered(places: Column) -> Column:
+    """Words inside the windows at these places."""
     step = lambda s, i: F.struct(i.alias("last"), (s["n"] + F.least(F.lit(WINDOW_WORDS), i - s["last"])).alias("n"))
-    return F.when(n == 0, 0).otherwise(F.aggregate(at, F.struct(F.lit(-WINDOW_WORDS).alias("last"), F.lit(0).alias("n")), step, lambda s: s["n"]))
+    return F.aggregate(places, F.struct(F.lit(-WINDOW_WORDS).alias("last"), F.lit(0).alias("n")), step, lambda s: s["n"])
 
 
 def features(docs: DataFrame, host: str = "source") -> DataFrame:
     """doc_id, host and the figures of each whole text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    first = docs.select("doc_id", F.col(host).alias("host"), text.alias("t"), words(F.col("text")).alias("w"))
+    first = docs.select("doc_id", F.col(host).alias("host"), text.alias("t"), words(F.col("text")).alias("w"))  # a step per array, so that no lambda computes one anew
     hashes = F.when(F.size("w") < WINDOW_WORDS, F.array().cast("array<bigint>")).otherwise(
         F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - WINDOW_WORDS, F.lit(0))), lambda i: F.xxhash64(*(F.get("w", i + j) for j in range(WINDOW_WORDS))))
     )
@@ -58,10 +54,13 @@ def features(docs: DataFrame, host: str = "source") -> DataFrame:
         "doc_id", "host", F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count("t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"), lines.alias("lines"), hashes.alias("h"),
     )
-    repeats = F.when(F.size(F.array_distinct("h")) == F.size("h"), F.lit(0)).otherwise(_repeated(F.col("h")))
-    return second.select(
+    pairs = F.array_sort(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    none = F.array().cast("array<struct<h:bigint,i:int>>")
+    third = second.select("*", F.when(F.size(F.array_distinct("h")) == F.size("h"), none).otherwise(pairs).alias("p")).drop("h")
+    fourth = third.select("*", _twins(F.col("p")).alias("at"))
+    return fourth.select(
         "doc_id", "host", "n_words", "word_chars", "n_symbols",
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), repeats.cast("long").alias("n_repeat_words"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), _covered(F.col("at")).cast("long").alias("n_repeat_words"),
     )
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, packing, pieces, pii, quality_rules
+from . import debruijn, licenses, packing, pieces, pii, quality_rules, suffixes
 from .kernels import table
 
 
@@ -18,6 +18,14 @@ def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_word_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.digest(table(spark, sf_dir, "documents"))
+
+
+def op5_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(table(spark, sf_dir, "documents"))
 
@@ -33,6 +41,8 @@ def op9_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_spans": op1_pii_spans,
     "op2_host_quality": op2_host_quality,
+    "op4_word_repeats": op4_word_repeats,
+    "op5_byte_repeats": op5_byte_repeats,
     "op6_unigram_pieces": op6_unigram_pieces,
     "op8_license_scan": op8_license_scan,
     "op9_pack_best_fit": op9_pack_best_fit,
@@ -40,4 +50,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_pii_spans": pii.oracle(),
     "op2_host_quality": quality_rules.oracle(),
+    "op4_word_repeats": debruijn.oracle(),
+    "op5_byte_repeats": suffixes.oracle(),
 }

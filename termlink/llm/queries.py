@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import debruijn, licenses, packing, pieces, pii, quality_rules, suffixes
+from . import debruijn, jaccard, licenses, packing, pieces, pii, quality_rules, suffixes
 from .kernels import table
 
 
@@ -30,6 +30,10 @@ def op6_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_shingle_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("accepted")
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_word_repeats": op4_word_repeats,
     "op5_byte_repeats": op5_byte_repeats,
     "op6_unigram_pieces": op6_unigram_pieces,
+    "op7_shingle_classes": op7_shingle_classes,
     "op8_license_scan": op8_license_scan,
     "op9_pack_best_fit": op9_pack_best_fit,
 }
@@ -52,4 +57,5 @@ ORACLES: dict[str, str] = {
     "op2_host_quality": quality_rules.oracle(),
     "op4_word_repeats": debruijn.oracle(),
     "op5_byte_repeats": suffixes.oracle(),
+    "op7_shingle_classes": jaccard.oracle(),
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import debruijn, jaccard, licenses, packing, pieces, pii, quality_rules, suffixes
+from . import debruijn, jaccard, licenses, packing, pieces, pii, quality_rules, suffixes, vectors
 from .kernels import table
 
 
@@ -18,6 +18,10 @@ def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_quantised_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.classes(table(spark, sf_dir, "embeddings"))
+
+
 def op4_word_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.digest(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def op9_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_spans": op1_pii_spans,
     "op2_host_quality": op2_host_quality,
+    "op3_quantised_neighbours": op3_quantised_neighbours,
     "op4_word_repeats": op4_word_repeats,
     "op5_byte_repeats": op5_byte_repeats,
     "op6_unigram_pieces": op6_unigram_pieces,
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_pii_spans": pii.oracle(),
     "op2_host_quality": quality_rules.oracle(),
+    "op3_quantised_neighbours": vectors.oracle(),
     "op4_word_repeats": debruijn.oracle(),
     "op5_byte_repeats": suffixes.oracle(),
     "op7_shingle_classes": jaccard.oracle(),

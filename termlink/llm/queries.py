@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import debruijn, jaccard, licenses, packing, pieces, pii, quality_rules, suffixes, vectors
+from . import cotraining, debruijn, jaccard, licenses, packing, pieces, pii, quality_rules, suffixes, vectors
 from .kernels import table
 
 
@@ -46,6 +46,10 @@ def op9_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_spans": op1_pii_spans,
     "op2_host_quality": op2_host_quality,
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_shingle_classes": op7_shingle_classes,
     "op8_license_scan": op8_license_scan,
     "op9_pack_best_fit": op9_pack_best_fit,
+    "op10_cotrained_quality": op10_cotrained_quality,
 }
 ORACLES: dict[str, str] = {
     "op1_pii_spans": pii.oracle(),

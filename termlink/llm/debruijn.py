@@ -21,6 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .kernels import flat, id_array, ids_of, word_hashes, words_of
@@ -55,7 +56,7 @@ def paths(docs: DataFrame) -> DataFrame:
         out = [np.concatenate(x) for x in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * 5
         return pa.record_batch([id_array(out[0]), *(pa.array(x, pa.int64()) for x in out[1:3]), id_array(out[3]), pa.array(out[4], pa.int64())], ["doc_id", "start", "n_words", "source_doc", "source_start"])
 
-    return with_texts(docs, found, n, finish, "doc_id long, start long, n_words long, source_doc long, source_start long")
+    return with_texts(docs.select("doc_id", "text"), found, n, finish, "doc_id long, start long, n_words long, source_doc long, source_start long")
 
 
 def _kept(batch, ranges):
@@ -81,18 +82,21 @@ def digest(docs: DataFrame) -> DataFrame:
         words, removed, sha = zip(*rows, strict=True)
         return pa.record_batch([id_array(ids_of(batch)), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return with_texts(docs, found, n, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return with_texts(docs.select("doc_id", "text"), found, n, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id and the new text of documents that lose words: kept words joined by one space."""
+    """The same rows; the text of documents that lose words is what is left, joined by one space."""
     found, n = covered(docs, UNITS)
 
     def finish(batch, ranges):
-        rows = [(d, kept.decode("utf-8", "replace")) for d, (_, removed, kept) in zip(ids_of(batch).tolist(), _kept(batch, ranges), strict=True) if removed]
-        return pa.record_batch([id_array(np.array([d for d, _ in rows], np.int64)), pa.array([t for _, t in rows], pa.string())], ["doc_id", "text"])
+        texts = batch.column("text")
+        new = [kept.decode("utf-8", "replace") if removed else None for _, removed, kept in _kept(batch, ranges)]
+        same = pa.array([t is None for t in new])
+        at = batch.schema.get_field_index("text")
+        return batch.set_column(at, batch.schema.field(at), pc.if_else(same, texts, pa.array(new, texts.type)))
 
-    return with_texts(docs, found, n, finish, "doc_id long, text string")
+    return with_texts(docs, found, n, finish, docs.schema)
 
 
 def oracle() -> str:

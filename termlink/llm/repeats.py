@@ -18,9 +18,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from .kernels import NULL_ID, PACKED, cut, deal, flat, ids_of, mix, packed, partitions, text_blocks
+from .kernels import PACKED, cut, deal, flat, ids_of, mix, packed, partitions, text_blocks
 from .skeleton import Blocks, blocks
 
 FILTER_BITS_EACH = 1 << 20  # per shuffle partition
@@ -240,29 +240,39 @@ def read_findings(blob: bytes):
     return doc, start.astype(np.int64), start + size.astype(np.int64), source + doc, source_start.astype(np.int64)
 
 
+TEXTS = b"\xff\xff\xff\xff"  # no count of findings begins like this
+
+
+def _ipc(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
 def with_texts(docs: DataFrame, findings: DataFrame, n: int, finish, schema: str) -> DataFrame:
-    """Brings texts and findings of a document together and calls ``finish(batch, ranges)`` on batches.
+    """Brings texts and findings of a document together and calls ``finish(batch, ranges)`` on batches of ``docs``.
 
     ``ranges`` maps a doc_id to its (start, end, source, source_start) rows, in no order.
     """
-    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
 
     def place(batches):
-        for batch in batches:
-            pid = _doc_pid(ids_of(batch), n)
-            yield pa.record_batch([pa.array(pid, pa.int32()), *batch.columns, pa.nulls(batch.num_rows, pa.binary())], ["pid", *batch.schema.names, "blob"])
+        """Texts by document, many in one compressed row."""
+        for block in text_blocks(batches):
+            order, ends = cut(_doc_pid(ids_of(block), n), n)
+            full = np.flatnonzero(np.diff(ends)).tolist()
+            yield packed(full, [TEXTS + _ipc(block.take(pa.array(order[ends[p] : ends[p + 1]]))) for p in full])
 
-    texts = docs.select(id_.alias("doc_id"), "text").mapInArrow(place, "pid int, doc_id long, text string, blob binary")
-    rows = texts.unionByName(findings.select("pid", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "blob"))
+    rows = docs.mapInArrow(place, PACKED).unionByName(findings)
 
     def run(batches):
         held, found = [], []
         for batch in batches:
-            blobs = batch.column("blob")
-            found += [read_findings(x.as_py()) for x in blobs if x.is_valid]
-            mine = batch.filter(blobs.is_null())
-            if mine.num_rows:
-                held.append(mine.select(["doc_id", "text"]))
+            for blob in batch.column("blob").to_pylist():
+                if blob[:4] == TEXTS:
+                    held += pa.ipc.open_stream(blob[4:]).read_all().to_batches()
+                else:
+                    found.append(read_findings(blob))
         columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 5
         order = np.argsort(columns[0], kind="stable")
         columns = [c[order] for c in columns]

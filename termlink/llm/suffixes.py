@@ -38,7 +38,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
         doc = np.concatenate([np.full(len(s), d, np.int64) for d, s, _ in runs])
         return pa.record_batch([id_array(doc), *(pa.array(np.concatenate([r[k] for r in runs]), pa.int64()) for k in (1, 2))], ["doc_id", "start", "end"])
 
-    return with_texts(docs, found, n, finish, "doc_id long, start long, end long")
+    return with_texts(docs.select("doc_id", "text"), found, n, finish, "doc_id long, start long, end long")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def digest(docs: DataFrame) -> DataFrame:
         size, removed, runs, sha = zip(*rows, strict=True)
         return pa.record_batch([id_array(ids_of(batch)), *(pa.array(x, pa.int64()) for x in (size, removed, runs)), pa.array(sha)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return with_texts(docs, found, n, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_texts(docs.select("doc_id", "text"), found, n, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def oracle() -> str:

@@ -30,6 +30,7 @@ THRESHOLD = 0.98
 SAMPLE, ROUNDS = 20_000, 40
 TABLES_REACH = 7  # bits between codes that surely meet
 BUCKET_MEMBERS, BUCKET_BLOCK = 32, 4096
+QUESTIONS = 128  # vectors compared with a bucket at a time
 _U = np.uint64
 
 
@@ -183,8 +184,8 @@ def classes(vectors: DataFrame, label: str = "label", vector: str = "embedding",
             x = np.frombuffer(b"".join(blobs[i][head.itemsize :] for i in order[a:b].tolist()), "<f8").reshape(b - a, d)
             norm = np.linalg.norm(x, axis=1)
             tables, reach, t = models[d][2], probes(d), int(g["t"][0])
-            for low in range(0, b - a, 1024):
-                q = slice(low, min(b - a, low + 1024))
+            for low in range(0, b - a, QUESTIONS):
+                q = slice(low, min(b - a, low + QUESTIONS))
                 link = (x[q] @ x[:members].T) / (norm[q, None] * norm[None, :members]) >= threshold
                 link &= g["rep"][q, None] != g["rep"][None, :members]
                 i, j = np.nonzero(link)

@@ -1,0 +1,5 @@
+"""Datasets by name: schemas, loading with column pruning, and writing."""
+
+from .tables import DATASETS, cached, list_parts, load, read_stage, write_csv, write_stage
+
+__all__ = ["DATASETS", "cached", "list_parts", "load", "read_stage", "write_csv", "write_stage"]

@@ -1,0 +1 @@
+"""Runs end to end, the query registry and its SQL."""

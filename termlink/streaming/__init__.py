@@ -1,0 +1 @@
+"""Matching over streams."""

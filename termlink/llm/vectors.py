@@ -7,8 +7,8 @@ so all codes up to ``TABLES_REACH`` bits apart meet at least once.  Whoever meet
 double precision on the original vectors, and only under the first table where two can meet, so each
 link counts once.  Substrings get longer as labels get fuller.
 
-Equal vectors of a label are one class from the start; a bucket with more than ``BUCKET_BLOCK`` members is
-dealt to several tasks and its questions go to each of them.  Nothing is dropped or capped.
+Equal vectors of a label are one class from the start; a bucket with more than ``BUCKET_BLOCK`` members (more,
+where over a million buckets would be so full) is dealt to several tasks and its questions go to each of them.  Nothing is dropped or capped.
 
 Nulls and edge cases: vectors without a label, null, empty, zero, or with a null or non-finite component
 link with nothing; vectors of different lengths are not compared; rows that repeat are copies and link with
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import BROADCAST_ROWS, components
 from .jaccard import _forest
-from .kernels import NULL_ID, PACKED, deal, mix, packed, partitions, shared
+from .kernels import NULL_ID, PACKED, deal, mix, packed, partitions, shared, task
 
 THRESHOLD = 0.98
 SAMPLE, ROUNDS = 20_000, 40
@@ -121,13 +121,14 @@ def classes(vectors: DataFrame, label: str = "label", vector: str = "embedding",
                 yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(count, pa.int64())], ["key", "n"])
 
     source = distinct.select("rep", "w", F.xxhash64("l").alias("lh"), "v")
-    heavy = shared(source.mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > BUCKET_BLOCK))
-    if heavy.count() > BROADCAST_ROWS:
-        raise ValueError("more than a million overfull buckets; lower BUCKET_MEMBERS or raise BUCKET_BLOCK")
-    hot = heavy.toArrow()
+    heavy = shared(source.mapInArrow(task(counted), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > BUCKET_BLOCK))
+    block = BUCKET_BLOCK
+    while heavy.where(F.col("n") > block).count() > BROADCAST_ROWS:  # keeps the table of split buckets small
+        block *= 2
+    hot = heavy.where(F.col("n") > block).toArrow()
     hot_key = np.asarray(hot.column("key")).view(np.uint64)
     order = np.argsort(hot_key)
-    hot_key, hot_parts = hot_key[order], -(-np.asarray(hot.column("n"))[order] // BUCKET_BLOCK)
+    hot_key, hot_parts = hot_key[order], -(-np.asarray(hot.column("n"))[order] // block)
 
     def parts_of(key: np.ndarray) -> np.ndarray:
         if not len(hot_key):
@@ -204,7 +205,7 @@ def classes(vectors: DataFrame, label: str = "label", vector: str = "embedding",
                     yield pa.record_batch([pa.array(who), pa.array(found), pa.nulls(len(who), pa.int64())], ["a", "n", "b"])
                     yield pa.record_batch([star.column("a"), pa.nulls(star.num_rows, pa.int64()), star.column("b")], ["a", "n", "b"])
 
-    met = shared(deal(source.mapInArrow(emit, PACKED), n).mapInArrow(meet, "a long, n long, b long"))
+    met = shared(deal(source.mapInArrow(task(emit), PACKED), n).mapInArrow(task(meet), "a long, n long, b long"))
     links = met.where("n is not null").groupBy("a").agg(F.sum("n").alias("n"))
     linked = components(met.where("b is not null").select("a", "b"))
     of_class = (

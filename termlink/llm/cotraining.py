@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import without
-from .kernels import LOWER, flat, id_array, ids_of, mix, shared, text_blocks, word_hashes, words_of
+from .kernels import LOWER, flat, id_array, ids_of, mix, shared, task, text_blocks, word_hashes, words_of
 
 LABELLED, POOL = 12_000, 6_000
 ROUNDS, CONFIDENT, PER_ROUND = 3, 0.97, 600
@@ -149,7 +149,7 @@ def _gather(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             rows = [pa.array([row.tobytes() for row in x], pa.binary()) for x in (text, meta)]
             yield pa.record_batch([id_array(ids_of(batch)), *rows], ["doc_id", "a", "b"])
 
-    found = docs.mapInArrow(run, "doc_id long, a binary, b binary").toArrow().sort_by([("doc_id", "ascending"), ("a", "ascending"), ("b", "ascending")])
+    found = docs.mapInArrow(task(run), "doc_id long, a binary, b binary").toArrow().sort_by([("doc_id", "ascending"), ("a", "ascending"), ("b", "ascending")])
     views = [np.frombuffer(b"".join(found.column(c).to_pylist()), np.float32).reshape(found.num_rows, -1) if found.num_rows else np.zeros((0, 1), np.float32) for c in "ab"]
     return np.asarray(found.column("doc_id").combine_chunks()), *views
 
@@ -211,7 +211,7 @@ def score(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
             kept = p[2] >= (model.threshold if model else 0)
             yield pa.record_batch([id_array(ids_of(batch)), *(pa.array(x, pa.float64()) for x in p), pa.array(kept)], ["doc_id", "p_text", "p_meta", "score", "kept"])
 
-    return _columns(docs).mapInArrow(run, "doc_id long, p_text double, p_meta double, score double, kept boolean")
+    return _columns(docs).mapInArrow(task(run), "doc_id long, p_text double, p_meta double, score double, kept boolean")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

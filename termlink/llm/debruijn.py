@@ -35,7 +35,7 @@ def _symbols(buf: np.ndarray, offsets: np.ndarray):
     return word_hashes(buf, starts, ends), first
 
 
-UNITS = Units(_symbols, LENGTH, GRAM, 4 << 20)
+UNITS = Units(_symbols, LENGTH, GRAM, 1 << 20)
 
 
 def paths(docs: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components, find_roots, without
-from .kernels import LOWER, NULL_ID, PACKED, cut, deal, flat, ids_of, mix, packed, partitions, ragged, shared, text_blocks, word_hashes, words_of
+from .kernels import LOWER, NULL_ID, PACKED, cut, deal, flat, ids_of, mix, packed, partitions, ragged, shared, task, text_blocks, word_hashes, words_of
 from .repeats import _read, _write
 
 SHINGLE = 5
@@ -96,7 +96,7 @@ def memberships(docs: DataFrame) -> DataFrame:
         for s in _sets(batches):
             yield pa.record_batch([pa.array(s.ids), pa.array(s.sig.view(np.int64)), pa.array(s.size)], ["doc_id", "sig", "n_shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sig long, n_shingles long")
+    return docs.select("doc_id", "text").mapInArrow(task(run), "doc_id long, sig long, n_shingles long")
 
 
 def _frequent(docs: DataFrame, n: int) -> np.ndarray:
@@ -123,7 +123,7 @@ def _frequent(docs: DataFrame, n: int) -> np.ndarray:
             mine = slots[level == at]
             yield pa.record_batch([pa.array(pids[:1], pa.int32()), pa.array([at], pa.int32()), pa.array([len(mine)], pa.int64()), pa.array([mine.tobytes()], pa.binary())], ["pid", "level", "n", "blob"])
 
-    found = shared(deal(docs.mapInArrow(count, PACKED), n).mapInArrow(settle, "pid int, level int, n long, blob binary"))
+    found = shared(deal(docs.mapInArrow(task(count), PACKED), n).mapInArrow(task(settle), "pid int, level int, n long, blob binary"))
     total, least = 0, 99
     for level, size in sorted(((r.level, r.n) for r in found.groupBy("level").agg(F.sum("n").alias("n")).collect()), reverse=True):
         total += size
@@ -269,8 +269,8 @@ def _loose_edges(docs: DataFrame, n: int) -> DataFrame:
         keep = free | (met + rest >= overlap(size_a, size_b))
         yield _forest(a[keep], b[keep])
 
-    met = deal(docs.mapInArrow(emit, PACKED), n).mapInArrow(meet, PACKED)
-    return deal(met, n).mapInArrow(prune, "a long, b long")
+    met = deal(docs.mapInArrow(task(emit), PACKED), n).mapInArrow(task(meet), PACKED)
+    return deal(met, n).mapInArrow(task(prune), "a long, b long")
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -319,7 +319,7 @@ def _links(docs: DataFrame, loose: DataFrame, n: int) -> DataFrame:
             yield pa.record_batch([pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([mask.tobytes()], pa.binary())], ["at", "mask"])
 
     filter_ = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in bits.mapInArrow(region, "at binary, mask binary").collect():  # at most FILTER_BITS / 8 places together
+    for row in bits.mapInArrow(task(region), "at binary, mask binary").collect():  # at most FILTER_BITS / 8 places together
         filter_[np.frombuffer(row["at"], "<i4")] = np.frombuffer(row["mask"], np.uint8)
     wanted = spark.sparkContext.broadcast(filter_)
 
@@ -379,9 +379,9 @@ def _links(docs: DataFrame, loose: DataFrame, n: int) -> DataFrame:
                 if len(a):
                     yield _forest(names[a], names[b])
 
-    rows = docs.mapInArrow(ship, schema).unionByName(nodes.mapInArrow(place, schema))
-    assigned = deal(rows, n).mapInArrow(assign, PACKED)
-    return deal(assigned, n).mapInArrow(compare, "a long, b long")
+    rows = docs.mapInArrow(task(ship), schema).unionByName(nodes.mapInArrow(task(place), schema))
+    assigned = deal(rows, n).mapInArrow(task(assign), PACKED)
+    return deal(assigned, n).mapInArrow(task(compare), "a long, b long")
 
 
 def classes(docs: DataFrame) -> DataFrame:

@@ -11,15 +11,18 @@ millions, while Spark still owns the exchange, its retries and its lost-executor
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 NULL_ID = -(2**63)  # stands for a null doc_id inside a kernel
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20  # working arrays take some sixty bytes for each byte of a block
 PACKED = "pid int, blob binary"
 
 _U = np.uint64
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library's, where it has one
 _rng = np.random.Generator(np.random.PCG64(20240229))
 SYMBOL = _rng.integers(1, 2**64 - 1, 256, dtype=np.uint64)
 BASE = _U(0x9E3779B97F4A7C15 | 5)
@@ -68,6 +71,24 @@ def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
 
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def task(run):
+    """A batch function whose worker gives freed memory back when the task ends; workers serve many tasks."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def flat(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (from 0) of a string or binary column; null reads as empty."""
     if isinstance(column, pa.ChunkedArray):

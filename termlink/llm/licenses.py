@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .kernels import ALNUM, LOWER, flat, id_array, ids_of, text_blocks, word_hashes, words_of
+from .kernels import ALNUM, LOWER, flat, id_array, ids_of, task, text_blocks, word_hashes, words_of
 
 # Phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -205,4 +205,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict
                 ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "accepted"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, accepted array<struct<template:string,start:long,words:long>>")
+    return docs.select("doc_id", "text").mapInArrow(task(run), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, accepted array<struct<template:string,start:long,words:long>>")

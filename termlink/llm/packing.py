@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .kernels import SYMBOL, flat, id_array, ids_of, prefix_hash, ragged, range_hash, text_blocks
+from .kernels import SYMBOL, flat, id_array, ids_of, prefix_hash, ragged, range_hash, task, text_blocks
 
 WINDOW = 1024
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -44,7 +44,7 @@ def unit_bounds(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class UnitIds:
     """Ids of units, looked up by identity; ``encode`` gets the texts of new units in groups."""
 
-    def __init__(self, encode_many, keep: int = 2_000_000) -> None:
+    def __init__(self, encode_many, keep: int = 1_000_000) -> None:
         self.encode_many, self.keep = encode_many, keep
         self.clear()
 
@@ -244,5 +244,5 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
                 held = 0
         yield from settle()
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(task(run), SCHEMA)
 

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .kernels import SYMBOL, flat, id_array, ids_of, prefix_hash, ragged, range_hash, text_blocks
+from .kernels import SYMBOL, flat, id_array, ids_of, prefix_hash, ragged, range_hash, task, text_blocks
 from .packing import UnitIds
 
 MARKER = "▁"
@@ -255,7 +255,7 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids), mask=block.column("text").is_null())
             yield pa.record_batch([id_array(ids_of(block)), lists], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(task(run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
@@ -268,7 +268,7 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
             texts = [None if ids is None else vocabulary.decode(np.array(ids, np.int64)).tobytes()[1:].decode() for ids in batch.column("ids").to_pylist()]
             yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(task(run), "doc_id long, text string")
 
 
 def digest(docs: DataFrame, model: str | None = None) -> DataFrame:
@@ -294,4 +294,4 @@ def digest(docs: DataFrame, model: str | None = None) -> DataFrame:
                 same = np.array([back[a:b].tobytes() == buf[c:d].tobytes() for a, b, c, d in zip(width[:-1], width[1:], offsets[:-1], offsets[1:], strict=True)], bool)
             yield pa.record_batch([id_array(ids_of(block)), pa.array(counts, pa.int64()), pa.array(np.diff(n_bytes), pa.int64()), pa.array(crc, pa.int64()), pa.array(same)], ["doc_id", "n_ids", "n_byte_ids", "ids_crc32", "round_trip"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_ids long, n_byte_ids long, ids_crc32 long, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(task(run), "doc_id long, n_ids long, n_byte_ids long, ids_crc32 long, round_trip boolean")

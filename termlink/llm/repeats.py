@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .kernels import PACKED, cut, deal, flat, ids_of, mix, packed, partitions, text_blocks
+from .kernels import PACKED, cut, deal, flat, ids_of, mix, packed, partitions, task, text_blocks
 from .skeleton import Blocks, blocks
 
 FILTER_BITS_EACH = 1 << 20  # per shuffle partition
@@ -127,7 +127,7 @@ def _filters(docs: DataFrame, units: Units, n: int) -> tuple[bytes, bytes, int]:
         yield pa.record_batch([pa.array(pids[:1], pa.int32()), pa.array(out[:1], pa.binary()), pa.array(out[1:], pa.binary())], ["pid", "again", "several"])
 
     width = -(-each // 8)
-    found = deal(docs.mapInArrow(count, PACKED), n).mapInArrow(settle, "pid int, again binary, several binary")
+    found = deal(docs.mapInArrow(task(count), PACKED), n).mapInArrow(task(settle), "pid int, again binary, several binary")
     again, several = bytearray(width * n), bytearray(width * n)
     for row in found.collect():  # two bit fields for each partition, of bounded size together
         again[row.pid * width : (row.pid + 1) * width] = row.again
@@ -213,8 +213,8 @@ def covered(docs: DataFrame, units: Units) -> tuple[DataFrame, int]:
                 rows = list(_findings(doc[late], start[late], start[late] + count[late].astype(np.int64) - 1 + length, first_doc[late], first_start[late], n, b""))
                 yield packed([p for p, _ in rows], [x for _, x in rows])
 
-    named = deal(docs.mapInArrow(name_blocks, PACKED), n)
-    return named.mapInArrow(settle, PACKED), n
+    named = deal(docs.mapInArrow(task(name_blocks), PACKED), n)
+    return named.mapInArrow(task(settle), PACKED), n
 
 
 def _findings(doc, start, end, source, source_start, n: int, mark: bytes):
@@ -263,7 +263,7 @@ def with_texts(docs: DataFrame, findings: DataFrame, n: int, finish, schema: str
             full = np.flatnonzero(np.diff(ends)).tolist()
             yield packed(full, [TEXTS + _ipc(block.take(pa.array(order[ends[p] : ends[p + 1]]))) for p in full])
 
-    rows = docs.mapInArrow(place, PACKED).unionByName(findings)
+    rows = docs.mapInArrow(task(place), PACKED).unionByName(findings)
 
     def run(batches):
         held, found = [], []
@@ -285,7 +285,7 @@ def with_texts(docs: DataFrame, findings: DataFrame, n: int, finish, schema: str
             for part in text_blocks([held.pop()]):
                 yield finish(part, ranges)
 
-    return deal(rows, n).mapInArrow(run, schema)
+    return deal(rows, n).mapInArrow(task(run), schema)
 
 
 def union_of(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -26,7 +26,7 @@ from .kernels import SYMBOL, flat, id_array, ids_of
 from .repeats import Units, covered, union_of, with_texts
 
 LENGTH, GRAM = 100, 32
-UNITS = Units(lambda buf, offsets: (SYMBOL[buf], offsets), LENGTH, GRAM, 1 << 20)
+UNITS = Units(lambda buf, offsets: (SYMBOL[buf], offsets), LENGTH, GRAM, 1 << 19)
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:

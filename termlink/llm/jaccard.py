@@ -305,12 +305,15 @@ def similar(tokens: list[np.ndarray], left: np.ndarray | None = None) -> tuple[n
     return np.nonzero(link)
 
 
-def _links(docs: DataFrame, loose: DataFrame, n: int) -> DataFrame:
-    """Edges of true similarity inside the loose groups, a spanning forest of them for each block pair."""
+def _links(docs: DataFrame, loose: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+    """Edges of true similarity inside the loose groups, a spanning forest of them for each block pair.
+
+    Their ends are the sets' smallest documents, so that components of them need no second naming.
+    """
     spark = docs.sparkSession
     sized = loose.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
     blocks = F.ceil(F.col("members") / GROUP_BLOCK).cast("int")
-    nodes = shared(loose.join(sized, "component").select("node", "component", blocks.alias("blocks")))
+    nodes = shared(loose.join(sized, "component").join(sets, F.col("node") == F.col("sig")).select("node", "component", blocks.alias("blocks"), "low"))
     bits = nodes.select(F.pmod(F.shiftrightunsigned("node", 8), F.lit(FILTER_BITS)).alias("bit")).select((F.col("bit") / 8).cast("int").alias("at"), F.pmod("bit", F.lit(8)).cast("int").alias("by")).groupBy("at").agg(F.bit_or(F.expr("shiftleft(1, by)")).alias("mask"))
 
     def region(batches):
@@ -333,33 +336,33 @@ def _links(docs: DataFrame, loose: DataFrame, n: int) -> DataFrame:
             blobs = [s.sig[d].tobytes() + s.token[s.first[d] : s.first[d + 1]].tobytes() for d in which.tolist()]
             for at in range(0, len(blobs), 2000):
                 part = slice(at, at + 2000)
-                yield pa.record_batch([pa.array(pid[part], pa.int32()), pa.array(blobs[part], pa.binary()), *(pa.nulls(len(blobs[part]), t) for t in (pa.int64(), pa.int64(), pa.int32()))], ["pid", "blob", "node", "component", "blocks"])
+                yield pa.record_batch([pa.array(pid[part], pa.int32()), pa.array(blobs[part], pa.binary()), *(pa.nulls(len(blobs[part]), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64()))], ["pid", "blob", "node", "component", "blocks", "low"])
 
     def place(batches):
         for batch in batches:
             pid = (mix(np.asarray(batch.column("node")).view(np.uint64)) % _U(n)).astype(np.int32)
-            yield pa.record_batch([pa.array(pid), pa.nulls(batch.num_rows, pa.binary()), *batch.columns], ["pid", "blob", "node", "component", "blocks"])
+            yield pa.record_batch([pa.array(pid), pa.nulls(batch.num_rows, pa.binary()), *batch.columns], ["pid", "blob", "node", "component", "blocks", "low"])
 
-    schema = "pid int, blob binary, node long, component long, blocks int"
+    schema = "pid int, blob binary, node long, component long, blocks int, low long"
 
     def assign(batches):
         """Each set once, to every block pair of its group that it takes part in."""
         held: dict[int, bytes] = {}
-        groups: dict[int, tuple[int, int]] = {}
+        groups: dict[int, tuple[int, int, int]] = {}
         for batch in batches:
-            for blob, node, component, count in zip(*(batch.column(c).to_pylist() for c in ("blob", "node", "component", "blocks")), strict=True):
+            for blob, node, component, count, low in zip(*(batch.column(c).to_pylist() for c in ("blob", "node", "component", "blocks", "low")), strict=True):
                 if blob is None:
-                    groups[node] = component, count
+                    groups[node] = component, count, low
                 else:
                     held[int(np.frombuffer(blob, "<i8", 1)[0])] = blob
         pids, blobs = [], []
-        for node, (component, count) in groups.items():
+        for node, (component, count, name) in groups.items():
             mine = int(mix(np.array([node], np.int64).view(np.uint64) + _U(7))[0] % _U(count))
             for other in range(count):
                 low, high = min(mine, other), max(mine, other)
-                task = np.array([component, low * 65536 + high], "<i8")
-                pids.append(int(mix(task.view(np.uint64)[:1] + mix(task.view(np.uint64)[1:]))[0] % _U(n)))
-                blobs.append(task.tobytes() + np.int64(mine).tobytes() + held[node])
+                task_ = np.array([component, low * 65536 + high], "<i8")
+                pids.append(int(mix(task_.view(np.uint64)[:1] + mix(task_.view(np.uint64)[1:]))[0] % _U(n)))
+                blobs.append(task_.tobytes() + np.int64(mine).tobytes() + np.int64(name).tobytes() + held[node][8:])
                 if len(blobs) >= 1000:
                     yield packed(pids, blobs)
                     pids, blobs = [], []
@@ -390,11 +393,10 @@ def classes(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     members = shared(memberships(docs))
     loose = components(_loose_edges(docs, n))
-    linked = components(_links(docs, loose, n)).withColumnsRenamed({"node": "sig", "component": "root"})
     full = members.where("n_shingles > 0")
-    sets = full.groupBy("sig").agg(F.min("doc_id").alias("low")).join(linked, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    roots = sets.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_set = sets.join(roots, "root").select("sig", "component_id")
+    sets = full.groupBy("sig").agg(F.min("doc_id").alias("low"))
+    linked = components(_links(docs, loose, sets, n))
+    of_set = sets.join(linked, F.col("low") == F.col("node"), "left").select("sig", F.coalesce("component", "low").alias("component_id"))
     out = full.join(of_set, "sig").select("doc_id", "n_shingles", "component_id").union(members.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id")))
     return out.select(F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), "n_shingles", F.nullif("component_id", F.lit(NULL_ID)).alias("component_id"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -17,30 +18,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 class Corpus:
-    """The stages of one corpus, built when asked for."""
+    """The stages of one corpus, built when asked for.
+
+    Stages that several others read are kept by Spark (memory, then disk), as ``plans.pipeline`` stores them.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
 
-    @property
+    @cached_property
     def forms(self) -> DataFrame:
-        return forms.surface_forms(self.diseases)
+        return forms.surface_forms(self.diseases).persist()
 
     @property
     def idf(self) -> DataFrame:
         return scoring.token_idf(self.forms)
 
-    @property
+    @cached_property
     def chunks(self) -> DataFrame:
-        return scoring.chunks(self.forms, self.idf, self.params)
+        return scoring.chunks(self.forms, self.idf, self.params).persist()
 
     @property
     def matcher(self) -> index.Matcher:
         return index.build_matcher(self.chunks, self.genes, self.params)
 
-    @property
+    @cached_property
     def matches(self) -> DataFrame:
-        return match.match_all(self.labels, self.matcher)
+        return match.match_all(self.labels, self.matcher).persist()
 
     @property
     def worded(self) -> DataFrame:

@@ -21,6 +21,13 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+@pytest.fixture(autouse=True)
+def nothing_kept(request):
+    yield
+    if "spark" in request.fixturenames:
+        request.getfixturevalue("spark").catalog.clearCache()
+
+
 @pytest.fixture(scope="session")
 def sf_dir():
     if not (DATA / "sf0.001").exists():

@@ -38,13 +38,16 @@ def unit_bounds(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     at = at[(at > 0) & (at < len(buf) - 1)]
     before = _VISIBLE[buf[at - 1]] | ((buf[at - 1] >= 0x80) & (at > 1) & _LEAD[buf[np.maximum(at - 2, 0)]])
     after = _VISIBLE[buf[at + 1]] | _LEAD[buf[at + 1]]
-    return np.union1d(at[before & after], offsets)
+    starts = np.zeros(len(buf) + 1, bool)
+    starts[at[before & after]] = True
+    starts[offsets] = True
+    return np.flatnonzero(starts)
 
 
 class UnitIds:
     """Ids of units, looked up by identity; ``encode`` gets the texts of new units in groups."""
 
-    def __init__(self, encode_many, keep: int = 1_000_000) -> None:
+    def __init__(self, encode_many, keep: int = 2_000_000) -> None:
         self.encode_many, self.keep = encode_many, keep
         self.clear()
 
@@ -101,20 +104,30 @@ class BpeUnits:
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.array([len(x) for x in texts], np.int64)
         joined = np.array([x[:1] == b" " and len(x) > 1 and x[1:2] != b" " and len(x) < 4096 and x[-1] > 0x20 for x in texts], bool)
-        found: list = [None] * len(texts)
         where = np.flatnonzero(joined)
+        single = np.flatnonzero(~joined).tolist()
+        units, counts, parts = [], [], []
         for group in np.split(where, np.searchsorted(np.cumsum(lengths[where]), np.arange(1 << 16, int(lengths[where].sum()) + 1, 1 << 16))):
-            if len(group):
-                ids = np.array(self._ids(b"".join(texts[i] for i in group).decode("utf-8", "replace")), np.int32)
-                ends, wanted = np.cumsum(self.width[ids]), np.cumsum(lengths[group])
-                cuts = np.searchsorted(ends, wanted)
-                if len(ends) and cuts[-1] < len(ends) and (ends[cuts] == wanted).all() and ends[-1] == wanted[-1]:
-                    for i, part in zip(group, np.split(ids, cuts[:-1] + 1), strict=True):
-                        found[i] = part
-        for i, part in enumerate(found):
-            if part is None:
-                found[i] = np.array(self._ids(texts[i].decode("utf-8", "replace")), np.int32)
-        return np.concatenate(found) if found else np.zeros(0, np.int32), np.array([len(x) for x in found], np.int64)
+            if not len(group):
+                continue
+            ids = np.array(self._ids(b"".join(texts[i] for i in group.tolist()).decode("utf-8", "replace")), np.int32)
+            ends, wanted = np.cumsum(self.width[ids]), np.cumsum(lengths[group])
+            cuts = np.searchsorted(ends, wanted)
+            if len(ends) and cuts[-1] == len(ends) - 1 and (ends[cuts] == wanted).all():
+                units.append(group)
+                counts.append(np.diff(cuts, prepend=-1))
+                parts.append(ids)
+            else:
+                single += group.tolist()
+        for i in single:
+            ids = np.array(self._ids(texts[i].decode("utf-8", "replace")), np.int32)
+            units.append(np.array([i]))
+            counts.append(np.array([len(ids)]))
+            parts.append(ids)
+        if not units:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        order, count = np.argsort(np.concatenate(units)), np.concatenate(counts)
+        return np.concatenate(parts)[ragged((np.cumsum(count) - count)[order], count[order])], count[order]
 
 
 def token_blocks(batches, encoder: UnitIds):

@@ -232,8 +232,10 @@ def id_blocks(batches, path: str):
     vocabulary, units = pieces(path)
     for block in text_blocks(batches):
         buf, offsets = marked(*flat(block.column("text")))
-        cut = np.flatnonzero((buf[1:] == 0x20) & (buf[:-1] != 0x20)) + 1
-        bounds = np.union1d(cut, offsets)
+        cut = np.zeros(len(buf) + 1, bool)
+        cut[1:-1] = (buf[1:] == 0x20) & (buf[:-1] != 0x20)
+        cut[offsets] = True
+        bounds = np.flatnonzero(cut)
         starts, ends = bounds[:-1], bounds[1:]
         begin, count = units(buf.tobytes(), starts, ends, range_hash(prefix_hash(SYMBOL[buf]), starts, ends))
         before = np.concatenate([[0], np.cumsum(count)])

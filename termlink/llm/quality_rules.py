@@ -68,11 +68,11 @@ def host_verdicts(judged: DataFrame) -> DataFrame:
     """host, documents, failures and the shrunk rate; the prior's mean and strength come from all hosts."""
     hosts = judged.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failed"))
     rate = F.col("host_failed") / F.col("host_docs")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"), F.avg(1 / F.col("host_docs")).alias("inverse"))
-    spread = F.greatest(F.col("v") - F.col("m") * (1 - F.col("m")) * F.col("inverse"), F.lit(1e-6))  # without the binomial's own
-    strength = F.greatest(F.col("m") * (1 - F.col("m")) / spread - 1, F.lit(1.0))
-    prior = prior.select("m", strength.alias("strength"))
-    return hosts.join(F.broadcast(prior)).select("host", "host_docs", "host_failed", ((F.col("host_failed") + F.col("m") * F.col("strength")) / (F.col("host_docs") + F.col("strength"))).alias("host_rate"))
+    found = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"), F.avg(1 / F.col("host_docs")).alias("inverse")).first()  # three numbers
+    m, v, inverse = (F.lit(x).cast("double") for x in found)
+    spread = F.greatest(v - m * (1 - m) * inverse, F.lit(1e-6))  # without the binomial's own
+    strength = F.greatest(m * (1 - m) / spread - 1, F.lit(1.0))
+    return hosts.select("host", "host_docs", "host_failed", ((F.col("host_failed") + m * strength) / (F.col("host_docs") + strength)).alias("host_rate"))
 
 
 def apply_rules(docs: DataFrame, host: str = "source") -> DataFrame:

@@ -78,9 +78,9 @@ class CorpusA(Corpus):
     def detail(self) -> DataFrame:
         return evaluate.recovery_detail(self.matches, self.evidence, self.diseases)
 
-    @property
+    @cached_property
     def low(self) -> DataFrame:
-        return adjudicate.low_confidence(self.matches, self.chunks, self.params)
+        return adjudicate.low_confidence(self.matches, self.chunks, self.params).persist()
 
     def judged(self, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         return adjudicate.judge(self.low, self.diseases, adjudicate.rule_backend("transport"), cache, self.params)

@@ -4,8 +4,8 @@ Round 1 counts anchors and leaves two filters of fixed size: anchors that occur
 occur again with other surroundings.  Round 2 names whole blocks under an anchor that occurs again: every
 occurrence of a block but the first (smallest document, then place) is covered by earlier windows.  Only
 blocks whose anchor has several surroundings ship their single windows as well.  A filter may let too much
-through, never too little, and rounds 2 and 3 compare full identities, so the result is exact.  Round 3
-brings each document's covered ranges to its text.
+through, never too little (surroundings are told apart by 63 bits of their names), and rounds 2 and 3
+compare full identities, so the result is exact.  Round 3 brings each document's covered ranges to its text.
 
 Each task first drops what its own texts already decide, so a passage that a third of all documents share
 reaches an exchange once per task, not once per document.
@@ -25,6 +25,7 @@ from .skeleton import Blocks, blocks
 
 FILTER_BITS_EACH = 1 << 20  # per shuffle partition
 FILTER_BITS_MOST = 1 << 28  # each filter stays under 32 MB
+GATHERED = 1 << 17  # anchors that a task brings together before it ships them
 _U = np.uint64
 
 
@@ -75,50 +76,73 @@ def _read(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _gather(batches, *kinds: str) -> list[np.ndarray]:
-    parts = [_read(blob, *kinds) for batch in batches for blob in batch.column("blob").to_pylist()]
-    return [np.concatenate(x) if parts else np.zeros(0, k) for x, k in zip(zip(*parts, strict=True) if parts else [()] * len(kinds), kinds, strict=True)]
+def _planes(x: np.ndarray) -> bytes:
+    """Rising numbers as steps, one plane for each byte of a step; the empty planes vanish in the exchange."""
+    return np.diff(x, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(blob: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(blob, np.uint8, 4 * n, 8).reshape(4, n).T.copy().view("<u4").ravel(), dtype=np.int64)
 
 
 def _filters(docs: DataFrame, units: Units, n: int) -> tuple[bytes, bytes, int]:
-    """Filters over anchors: met again; met again with other surroundings."""
+    """Filters over anchors: met again; met again with other surroundings.
+
+    An entry is the anchor's place and as much of the anchor as fits four bytes with it, then the block's
+    whole name but its lowest bit, which says whether the task itself has the block more than once.
+    """
     bits = min(FILTER_BITS_MOST, n * FILTER_BITS_EACH)
     each = -(-bits // n)
+    spare = 32 - (each - 1).bit_length()  # 12 bits at least
 
-    def count(batches):
+    def gathered(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
         for _, b in units.blocks(batches):
-            order = np.lexsort((b.name, b.anchor))
-            anchor, name = b.anchor[order], b.name[order]
+            held.append((b.anchor, b.name))
+            size += len(b.anchor)
+            if size >= GATHERED:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held, size = [], 0
+        if size:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+    def count(batches):
+        for anchor, name in gathered(batches):
+            order = np.lexsort((name, anchor))
+            anchor, name = anchor[order], name[order]
             new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (name[1:] != name[:-1])]) if len(order) else np.zeros(0, bool)
             copies = np.diff(np.concatenate([np.flatnonzero(new), [len(order)]]))
             anchor, name = anchor[new], name[new]
             place = _places(anchor, bits)
             pid = (place // _U(each)).astype(np.int64)
-            by, ends = cut(pid, n)
-            mark = (name[by].astype("<u2") & np.uint16(0xFFFE)) | (copies[by] > 1).astype("<u2")
-            local, check = (place[by] % _U(each)).astype("<u4"), anchor[by].astype("<u2")
+            key = (((place % _U(each)) << _U(spare)) | (anchor & _U((1 << spare) - 1))).astype(np.int64)
+            by = np.argsort((pid << 32) | key)
+            ends = np.searchsorted(pid[by], np.arange(n + 1))
+            key, mark = key[by], (name[by] & ~_U(1)) | (copies[by] > 1).astype("<u8")
             full = np.flatnonzero(np.diff(ends))
-            yield packed(full.tolist(), [_write(local[ends[p] : ends[p + 1]], check[ends[p] : ends[p + 1]], mark[ends[p] : ends[p + 1]]) for p in full])
+            yield packed(full.tolist(), [np.int64(ends[p + 1] - ends[p]).tobytes() + _planes(key[ends[p] : ends[p + 1]]) + mark[ends[p] : ends[p + 1]].tobytes() for p in full])
 
     def settle(batches):
         pids: list[int] = []
-
-        def seen():
-            for batch in batches:
-                pids.extend(batch.column("pid").to_pylist()[:1])
-                yield batch
-
-        local, check, mark = _gather(seen(), "<u4", "<u2", "<u2")
-        if not len(local):
+        keys, marks = [], []
+        for batch in batches:
+            pids.extend(batch.column("pid").to_pylist()[:1])
+            for blob in batch.column("blob").to_pylist():
+                size = int(np.frombuffer(blob, "<i8", 1)[0])
+                keys.append(_from_planes(blob, size).astype("<u4"))
+                marks.append(np.frombuffer(blob, "<u8", size, 8 + 4 * size))
+        if not keys:
             return
-        key = (local.astype(np.uint64) << _U(16)) | check
+        key, mark = np.concatenate(keys), np.concatenate(marks)
         order = np.argsort(key, kind="stable")
-        key, mark, local = key[order], mark[order], local[order]
+        key, mark = key[order], mark[order]
+        local = key >> np.uint32(spare)
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff(np.concatenate([begin, [len(key)]]))
-        name = mark & np.uint16(0xFFFE)
+        name = mark & ~_U(1)
         several = np.minimum.reduceat(name, begin) != np.maximum.reduceat(name, begin)
-        again = (sizes > 1) | (np.maximum.reduceat(mark & np.uint16(1), begin) > 0)
+        again = (sizes > 1) | (np.maximum.reduceat(mark & _U(1), begin) > 0)
         out = []
         for hit in (again, several):
             flags = np.zeros(each, bool)

@@ -1,12 +1,14 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from comparing import same_rows
 from fixtures import corpus, frame
 
 from termlink.llm import debruijn, suffixes
 from termlink.llm.queries import ORACLES, QUERIES
+from termlink.llm.repeats import Units
 
 
 def covered(sequences, length):
@@ -72,6 +74,24 @@ def test_bytes(docs):
         assert found[i].kept_sha256 == hashlib.sha256(kept).hexdigest() and sorted(runs.get(i, [])) == spans
 
 
+def test_surroundings_whose_names_agree_in_low_bits(docs, monkeypatch):
+    class Agree(Units):
+        def blocks(self, batches):
+            for ids, b in super().blocks(batches):
+                b.name = b.name & ~np.uint64(0xFFFF)
+                yield ids, b
+
+    texts = TEXTS + WIDE
+    for module, sequences in (
+        (debruijn, [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]),
+        (suffixes, [(t or "").encode() for t in texts]),
+    ):
+        units = module.UNITS
+        monkeypatch.setattr(module, "UNITS", Agree(units.symbols, units.length, units.gram, units.block_bytes))
+        gone = covered(list(enumerate(sequences)), module.LENGTH)
+        assert {r.doc_id: r.n_removed for r in module.digest(docs).collect()} == {i: sum(g) for i, g in gone.items()}
+
+
 def test_edges(spark):
     text = " ".join(f"word{i}" for i in range(40))
     for module in (debruijn, suffixes):

@@ -3,6 +3,7 @@ import re
 import numpy as np
 import pytest
 from fixtures import corpus, frame
+from pyspark.sql import functions as F
 from test_duplicates import classes
 from test_repeats import covered
 
@@ -35,6 +36,19 @@ def test_classifier_on_unseen_documents(spark):
     assert again == {i: round(r.score, 9) for i, r in rows.items()}
 
 
+def test_every_unlabelled_document_takes_part(spark):
+    rng = np.random.default_rng(1)
+    good = rng.random(5000) < 0.7
+    words = rng.integers(0, 200, (5000, 30))
+    texts = [" ".join(f"word{w}" if g else f"word{w}%%%" for w in row) for g, row in zip(good, words, strict=True)]
+    docs = frame(spark, texts).withColumn("source", F.when(F.element_at(F.split("text", "%"), -1) == "", "bad").otherwise("good"))
+    labels = spark.createDataFrame([(i, int(good[i])) for i in range(200)], "doc_id long, quality int")
+    model, _ = cotraining.fit(docs, labels)
+    free = good[200:]
+    for bad_ones, good_ones in model.given:  # far more than a fixed number for each round allowed
+        assert 0.9 * (~free).sum() <= bad_ones <= (~free).sum() and 0.9 * free.sum() <= good_ones <= free.sum()
+
+
 def test_classifier_without_labels(spark):
     docs = frame(spark, [*corpus(1, 6)])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

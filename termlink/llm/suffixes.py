@@ -1,10 +1,7 @@
-"""Substring dedup over UTF-8 bytes by prefix doubling on sampled suffixes.
+"""Substring dedup over UTF-8 bytes by minimizer anchors, in place of prefix doubling.
 
-Ranks are names (64-bit identities, not positions in a sorted order: only equality matters here), and
-Spark compares position-name pairs at growing lengths: 32-byte prefixes at sampled positions first, then
-the blocks around them (the threshold and more), then single 100-byte strings where surroundings branch.
-A position that is unique at one length takes no part in the next; one whose block is equal past the
-threshold is settled and stops as well.
+No suffixes are ranked or sorted.  64-bit names are compared: of 32-byte anchors first, then of the blocks
+around anchors that occur again, then of single 100-byte strings where surroundings branch.
 
 A byte goes if a 100-byte string over it also starts earlier (smaller doc_id, or same document, earlier
 start); overlaps count; strings are judged on the input and lie in one document.

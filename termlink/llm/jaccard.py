@@ -403,7 +403,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: each class keeps its smallest doc_id."""
-    gone = shared(classes(docs).where("doc_id != component_id").select("doc_id"))
+    gone = shared(classes(docs).where("NOT doc_id <=> component_id").select("doc_id"))
     return without(docs, gone, "doc_id")
 
 

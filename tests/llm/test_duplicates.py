@@ -139,3 +139,9 @@ def test_vectors_edges(spark, sf_dir, duck):
     only = spark.createDataFrame([(1, [1.0, 2.0], 0, 1, 1), (1, [1.0, 2.0], 0, 1, 1), (None, [2.0, 4.0], 0, 1, 1)], VECTORS)
     assert {(r.vec_id, r.n_links) for r in vectors.classes(only).collect()} == {(1, 2), (None, 2)}
     same_rows(QUERIES["op3_quantised_neighbours"](spark, sf_dir), duck.sql(ORACLES["op3_quantised_neighbours"]))
+
+
+def test_copies_of_a_row_without_an_id_go(spark):
+    text = " ".join(f"word{i}" for i in range(30))
+    docs = frame(spark, [text, text, text, "something else entirely here now"], ids=[None, 3, 4, 5])
+    assert sorted((r.doc_id for r in jaccard.keep_one(docs).collect()), key=str) == [5, None]

@@ -2,20 +2,23 @@
 
 The backend is any callable (prompt, model) -> text that answers with a JSON array of
 {"id", "verdict", "reason"}; none is built in but a rule for tests.  It runs in tasks and is called at
-least once per batch; a retried task asks again.  Equal candidates are judged once, and only verdicts
-other than ``error`` are worth caching.
+least once per batch; a retried task asks again, but answers are stored before anything reads them.  A
+call that raises or outlasts its time limit gives its batch ``error`` verdicts and leaves the others alone.
+Equal candidates are judged once, and only verdicts other than ``error`` are worth caching.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import cache_key
 from ..params import DEFAULTS, Params
+from ..sources.stored import stored
 from .order import numbered
 
 HEADER = (
@@ -95,12 +98,23 @@ def rule_backend(word: str) -> Backend:
     return answer
 
 
-def ask(prompted: DataFrame, backend: Backend, model: str) -> DataFrame:
-    """(batch, size, answer): a call of the backend for each prompt, in tasks."""
+def _answer(backend: Backend, prompt: str, model: str, seconds: float) -> str | None:
+    """The backend's answer; None if it raises or takes longer than it may."""
+    pool = ThreadPoolExecutor(1)
+    try:
+        return pool.submit(backend, prompt, model).result(timeout=seconds)
+    except Exception:  # whatever a caller's backend raises; its batch becomes errors
+        return None
+    finally:
+        pool.shutdown(wait=False)
+
+
+def ask(prompted: DataFrame, backend: Backend, model: str, seconds: float = DEFAULTS.judge_seconds) -> DataFrame:
+    """(batch, size, answer): a call of the backend for each prompt, in tasks; no answer is null."""
 
     def run(frames):
         for frame in frames:
-            yield pd.DataFrame({"batch": frame["batch"], "size": frame["size"], "answer": [backend(p, model) for p in frame["prompt"]]})
+            yield pd.DataFrame({"batch": frame["batch"], "size": frame["size"], "answer": pd.Series([_answer(backend, p, model, seconds) for p in frame["prompt"]], dtype=object)})
 
     return prompted.mapInPandas(run, "batch long, size long, answer string")
 
@@ -108,8 +122,8 @@ def ask(prompted: DataFrame, backend: Backend, model: str) -> DataFrame:
 def judge(candidates: DataFrame, diseases: DataFrame, backend: Backend, cache: DataFrame | None = None, params: Params = DEFAULTS) -> tuple[DataFrame, DataFrame]:
     """Candidates with verdict and reason, and the new rows for the cache (key, verdict, reason)."""
     batched = batches(pending(candidates, diseases, cache), params)
-    verdicts = parse_verdicts(ask(prompts(batched), backend, params.judge_model))
-    new = batched.join(verdicts, ["batch", "item"]).select("key", "verdict", "reason").persist()  # asked once for both results
+    answers = stored(ask(prompts(batched), backend, params.judge_model, params.judge_seconds))  # asked once for both results
+    new = stored(batched.join(parse_verdicts(answers), ["batch", "item"]).select("key", "verdict", "reason"))
     known = new if cache is None else cache.select("key", "verdict", "reason").unionByName(new)
     judged = with_keys(candidates).join(known, "key", "left").select(*candidates.columns, F.coalesce("verdict", F.lit("error")).alias("verdict"), F.coalesce("reason", F.lit("")).alias("reason"))
     return judged, new.where("verdict <> 'error'")

@@ -23,16 +23,20 @@ def ontology_edges(diseases: DataFrame) -> DataFrame:
 def recovery_detail(matches: DataFrame, evidence: DataFrame, diseases: DataFrame) -> DataFrame:
     """Each curated pair with its category and whether its pathway has any match.
 
-    Relations are equi-joins over exploded edges, never a test on whole lists.
+    Curated terms meet their pathway's matched terms first, and only these pairs of terms look for an edge, so
+    a general term's descendants never multiply by its pathways.  Relations are equi-joins over exploded edges,
+    never a test on whole lists.
     """
     pairs = evidence_pairs(evidence)
     found = matches.select("pathwayId", F.col("diseaseId").alias("matched")).distinct()
-    exact = found.select("pathwayId", F.col("matched").alias("diseaseId"), F.lit(0).alias("rank"))
-    related = found.join(ontology_edges(diseases), F.col("matched") == F.col("id")).select("pathwayId", F.col("related").alias("diseaseId"), F.when(F.col("relation") == "ancestor", 1).otherwise(2).alias("rank"))
-    best = exact.union(related).groupBy(*_PAIR).agg(F.min("rank").alias("rank"))
-    named = found.select("pathwayId").distinct().withColumn("has_match", F.lit(True))
+    met = pairs.join(found, "pathwayId", "left")
+    edges = ontology_edges(diseases).select(F.col("id").alias("matched"), F.col("related").alias("diseaseId"), F.when(F.col("relation") == "ancestor", 1).otherwise(2).alias("rank"))
+    wanted = met.select("matched", "diseaseId").where("matched <> diseaseId").distinct()
+    known = wanted.join(edges, ["matched", "diseaseId"]).groupBy("matched", "diseaseId").agg(F.min("rank").alias("rank"))
+    rank = F.when(F.col("matched") == F.col("diseaseId"), 0).otherwise(F.col("rank"))
+    best = met.join(known, ["matched", "diseaseId"], "left").groupBy(*_PAIR).agg(F.min(rank).alias("rank"), F.max(F.col("matched").isNotNull()).alias("has_match"))
     category = F.element_at(F.lit(list(CATEGORIES)), F.coalesce("rank", F.lit(3)) + 1)
-    return pairs.join(best, _PAIR, "left").join(named, "pathwayId", "left").select(*_PAIR, category.alias("category"), F.coalesce("has_match", F.lit(False)).alias("has_match"))
+    return best.select(*_PAIR, category.alias("category"), "has_match")
 
 
 def _counted(frame: DataFrame, column: str, values: tuple[str, ...]) -> DataFrame:

@@ -1,7 +1,8 @@
 """Terms in labels, by three extractors with a fixed precedence.
 
-Equal (id, label) rows are matched once and come back as often as they stood.  Joins are equi-joins on
-index forms; Spark broadcasts an index when its measured size allows.
+Equal (id, label) rows are matched once and come back as often as they stood.  ``match_all`` reads, groups
+and normalises labels once, stores them under a row number, and carries that number instead of the text
+until the end.  Joins are equi-joins on index forms; Spark broadcasts an index when its measured size allows.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import normalise, slot_spellings, template_slot, tokens
+from ..sources.stored import stored
 from .index import Matcher
 
 METHODS = ("template", "whole_form", "alias")
@@ -25,48 +27,59 @@ def label_tokens(labels: DataFrame) -> DataFrame:
     return labels.withColumn("words", tokens(normalise(F.col("pathwayLabel"))))
 
 
-def slot_candidates(labels: DataFrame) -> DataFrame:
+def slot_candidates(labels: DataFrame, key: list[str] = _KEY) -> DataFrame:
     """(label, pos, form): normalised spellings of each templated label's slot, the first of equals."""
-    spelled = labels.select(*_KEY, template_slot(F.col("pathwayLabel")).alias("slot")).where("slot IS NOT NULL")
-    forms = spelled.select(*_KEY, F.posexplode(slot_spellings(F.col("slot"))).alias("pos", "raw")).select(*_KEY, "pos", normalise(F.col("raw")).alias("form"))
-    return forms.where("form <> ''").groupBy(*_KEY, "form").agg(F.min("pos").alias("pos"))
+    spelled = labels.select(*key, template_slot(F.col("pathwayLabel")).alias("slot")).where("slot IS NOT NULL")
+    forms = spelled.select(*key, F.posexplode(slot_spellings(F.col("slot"))).alias("pos", "raw")).select(*key, "pos", normalise(F.col("raw")).alias("form"))
+    return forms.where("form <> ''").groupBy(*key, "form").agg(F.min("pos").alias("pos"))
 
 
-def template_matches(labels: DataFrame, index: DataFrame) -> DataFrame:
+def template_matches(labels: DataFrame, index: DataFrame, key: list[str] = _KEY) -> DataFrame:
     """The least ambiguous, then longest, then first spelling that the index knows, for all its terms."""
     sizes = index.select("form", "nIds").distinct()
-    best = slot_candidates(labels).join(sizes, "form").groupBy(*_KEY).agg(F.min_by("form", F.struct("nIds", -F.length("form"), "pos")).alias("form"))
-    return best.join(index, "form").select(*_KEY, "diseaseId", F.lit("template").alias("method"), F.col("form").alias("matchedText"), F.col("nIds").alias("nDiseases"), F.lit(0).alias("size"), F.lit(0).alias("start"))
+    best = slot_candidates(labels, key).join(sizes, "form").groupBy(*key).agg(F.min_by("form", F.struct("nIds", -F.length("form"), "pos")).alias("form"))
+    return best.join(index, "form").select(*key, "diseaseId", F.lit("template").alias("method"), F.col("form").alias("matchedText"), F.col("nIds").alias("nDiseases"), F.lit(0).alias("size"), F.lit(0).alias("start"))
 
 
-def whole_form_matches(worded: DataFrame, index: DataFrame) -> DataFrame:
-    """Forms that stand in a label as consecutive tokens.
+def _placed(worded: DataFrame, index: DataFrame, key: list[str]) -> DataFrame:
+    """Where forms of an index (form, method, ...) stand in labels as consecutive tokens.
 
-    Windows are cut only where a form of that first token and size exists, so long labels stay cheap.
+    Windows are cut only where a form of that first token and size exists, and a token travels with as many
+    of its followers as the longest form has, so long labels stay linear.
     """
     words = F.split("form", " ")
     shapes = index.select(words[0].alias("token"), F.size(words).alias("size")).distinct()
-    placed = worded.select(*_KEY, "words", F.posexplode("words").alias("start", "token"))
-    cut = placed.join(shapes, "token").where(F.col("start") + F.col("size") <= F.size("words"))
-    spanned = cut.select(*_KEY, "start", "size", F.array_join(F.slice("words", F.col("start") + 1, F.col("size")), " ").alias("form"))
-    return spanned.join(index, "form").select(*_KEY, "diseaseId", F.lit("whole_form").alias("method"), F.col("form").alias("matchedText"), F.col("nIds").alias("nDiseases"), "size", "start")
+    longest = shapes.agg(F.coalesce(F.max("size"), F.lit(1)).alias("longest"))
+    ahead = F.transform(F.sequence(F.lit(1), F.size("words")), lambda i: F.slice("words", i, F.col("longest")))
+    begun = worded.where(F.size("words") > 0).join(F.broadcast(longest)).select(*key, F.posexplode(ahead).alias("start", "ahead"))  # one row
+    cut = begun.withColumn("token", F.col("ahead")[0]).join(shapes, "token").where(F.col("size") <= F.size("ahead"))
+    spanned = cut.select(*key, "start", "size", F.array_join(F.slice("ahead", F.lit(1), F.col("size")), " ").alias("form"))
+    return spanned.join(index, "form").select(*key, "diseaseId", "method", F.col("form").alias("matchedText"), F.col("nIds").alias("nDiseases"), "size", "start")
 
 
-def alias_matches(worded: DataFrame, index: DataFrame) -> DataFrame:
-    placed = worded.select(*_KEY, F.posexplode("words").alias("start", "form"))
-    return placed.join(index, "form").select(*_KEY, "diseaseId", F.lit("alias").alias("method"), F.col("form").alias("matchedText"), F.col("nIds").alias("nDiseases"), F.lit(1).alias("size"), "start")
+def whole_form_matches(worded: DataFrame, index: DataFrame, key: list[str] = _KEY) -> DataFrame:
+    """Forms that stand in a label as consecutive tokens."""
+    return _placed(worded, index.withColumn("method", F.lit("whole_form")), key)
 
 
-def first_offers(offers: DataFrame) -> DataFrame:
+def alias_matches(worded: DataFrame, index: DataFrame, key: list[str] = _KEY) -> DataFrame:
+    """Aliases that are one of a label's tokens."""
+    placed = worded.select(*key, F.posexplode("words").alias("start", "form"))
+    return placed.join(index, "form").select(*key, "diseaseId", F.lit("alias").alias("method"), F.col("form").alias("matchedText"), F.col("nIds").alias("nDiseases"), F.lit(1).alias("size"), "start")
+
+
+def first_offers(offers: DataFrame, key: list[str] = _KEY) -> DataFrame:
     """Per label and term the strongest method's offer: longest form first, then leftmost."""
     rank = F.array_position(F.lit(list(METHODS)), F.col("method"))
-    best = Window.partitionBy(*_KEY, "diseaseId").orderBy(rank, F.col("size").desc(), "start", "matchedText")
+    best = Window.partitionBy(*key, "diseaseId").orderBy(rank, F.col("size").desc(), "start", "matchedText")
     return offers.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n", "size", "start")
 
 
 def match_all(labels: DataFrame, matcher: Matcher) -> DataFrame:
-    distinct = labels_of(labels)
-    worded = label_tokens(distinct)
-    offers = template_matches(distinct, matcher.slot).unionByName(whole_form_matches(worded, matcher.whole_form)).unionByName(alias_matches(worded, matcher.alias))
-    found = first_offers(offers).join(distinct, _KEY)
+    """All three extractors over the labels; storing these runs a job."""
+    row = ["_row"]
+    held = stored(label_tokens(labels_of(labels)).withColumn("_row", F.monotonically_increasing_id()))
+    tagged = matcher.whole_form.withColumn("method", F.lit("whole_form")).unionByName(matcher.alias.withColumn("method", F.lit("alias")))
+    offers = template_matches(held, matcher.slot, row).unionByName(_placed(held, tagged, row))
+    found = first_offers(offers, row).join(held.select("_row", *_KEY, "copies"), "_row")
     return found.select(*_KEY, "diseaseId", "method", "matchedText", "nDiseases", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_")).drop("_")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import spans, tokens
 from ..params import DEFAULTS, Params
+from ..sources.stored import stored
 
 
 def token_idf(forms: DataFrame) -> DataFrame:
@@ -41,14 +42,17 @@ def chunk_sharing(spanned: DataFrame) -> DataFrame:
 
 
 def chunks(forms: DataFrame, idf: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """Scored chunks: specificity (summed weight), coverage (share of the form's) and terms that share it."""
+    """Scored chunks: specificity (summed weight), coverage (share of the form's) and terms that share it.
+
+    Spans are cut once and stored, for their scores and for the terms that share them; storing runs a job.
+    """
     placed = forms.select("diseaseId", "normalised", F.posexplode(tokens(F.col("normalised"))).alias("pos", "token"))
     weighed = placed.join(idf.select("token", "idf"), "token", "left").groupBy("diseaseId", "normalised").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("idf", F.lit(0.0)).alias("w")))).alias("w"))
     spanned = form_spans(forms, params)
     scored = spanned.join(weighed, ["diseaseId", "normalised"]).withColumn("w", F.transform("w", lambda x: x["w"]))
     total = _sum(F.col("w"))
-    scored = scored.withColumns({"specificity": _sum(F.slice("w", F.col("start"), F.col("nTokens"))), "total": F.when(total == 0, 1.0).otherwise(total)})
-    return scored.join(chunk_sharing(spanned), "chunk", "left").select(
+    scored = stored(scored.withColumns({"specificity": _sum(F.slice("w", F.col("start"), F.col("nTokens"))), "total": F.when(total == 0, 1.0).otherwise(total)}).drop("w", "start"))
+    return scored.join(chunk_sharing(scored), "chunk", "left").select(
         "diseaseId", "diseaseName", F.col("normalised").alias("surfaceForm"), "source", "isAbbreviation", "chunk", "nTokens", "specificity",
         F.least(F.col("specificity") / F.col("total"), F.lit(1.0)).alias("coverage"), "nDiseases",
     )

@@ -45,6 +45,7 @@ class Params:
     low_confidence_max_specificity: float = 12.0
     judge_batch_size: int = 25
     judge_model: str = "default"
+    judge_seconds: float = 300.0  # for one call of the backend
 
 
 DEFAULTS = Params()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import cache_key, is_abbreviation, normalise, template_slot
 from ..operators import adjudicate, evaluate, forms, index, match, reports, scoring
-from ..sources import adapters
+from ..sources import adapters, stored
 from ..sources.adapters import PARAMS_A, PARAMS_B
 from .oracles import ORACLES
 
@@ -20,31 +20,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 class Corpus:
     """The stages of one corpus, built when asked for.
 
-    Stages that several others read are kept by Spark (memory, then disk), as ``plans.pipeline`` stores them.
+    A stage that others read is stored before they do, as ``plans.pipeline`` stores it, so that no plan holds
+    the plans of the stages before; ``*_rows`` are the same stages for queries that end there.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
 
+    @property
+    def forms_rows(self) -> DataFrame:
+        return forms.surface_forms(self.diseases)
+
     @cached_property
     def forms(self) -> DataFrame:
-        return forms.surface_forms(self.diseases).persist()
+        return stored(self.forms_rows)
 
     @property
     def idf(self) -> DataFrame:
         return scoring.token_idf(self.forms)
 
+    @property
+    def chunks_rows(self) -> DataFrame:
+        return scoring.chunks(self.forms, self.idf, self.params)
+
     @cached_property
     def chunks(self) -> DataFrame:
-        return scoring.chunks(self.forms, self.idf, self.params).persist()
+        return stored(self.chunks_rows)
 
     @property
     def matcher(self) -> index.Matcher:
         return index.build_matcher(self.chunks, self.genes, self.params)
 
+    @property
+    def matches_rows(self) -> DataFrame:
+        return match.match_all(self.labels, self.matcher)
+
     @cached_property
     def matches(self) -> DataFrame:
-        return match.match_all(self.labels, self.matcher).persist()
+        return stored(self.matches_rows)
 
     @property
     def worded(self) -> DataFrame:
@@ -78,16 +91,21 @@ class CorpusA(Corpus):
     def detail(self) -> DataFrame:
         return evaluate.recovery_detail(self.matches, self.evidence, self.diseases)
 
+    @property
+    def low_rows(self) -> DataFrame:
+        return adjudicate.low_confidence(self.matches, self.chunks, self.params)
+
     @cached_property
     def low(self) -> DataFrame:
-        return adjudicate.low_confidence(self.matches, self.chunks, self.params).persist()
+        return stored(self.low_rows)
 
     def judged(self, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         return adjudicate.judge(self.low, self.diseases, adjudicate.rule_backend("transport"), cache, self.params)
 
     @property
     def full(self) -> DataFrame:
-        return adjudicate.judged_full(self.matches, self.judged()[0])
+        judged = stored(self.judged()[0])  # read twice
+        return adjudicate.judged_full(self.matches, judged)
 
 
 class CorpusB(Corpus):
@@ -154,14 +172,14 @@ _a("slot_candidates", lambda c: match.slot_candidates(match.labels_of(c.labels))
 _a("load_counts", lambda c: reports.load_counts(c.every, c.diseases))
 _a("drop_branches", lambda c: c.diseases.select("id", "name"))
 _a("gene_symbols", lambda c: c.genes)
-_a("surface_forms", lambda c: c.forms)
+_a("surface_forms", lambda c: c.forms_rows)
 _a("surface_stats", lambda c: reports.surface_stats(c.forms))
 _a("token_idf", lambda c: _rounded(c.idf, "idf"))
 _b("token_idf_text", lambda c: _rounded(c.idf, "idf"))
 _a("token_frequency", lambda c: scoring.token_frequency(c.forms))
 _a("spans", lambda c: scoring.form_spans(c.forms, c.params).select("diseaseId", "normalised", "chunk", "nTokens"))
-_a("chunks", lambda c: _rounded(c.chunks, "specificity", "coverage"))
-_b("chunks_text", lambda c: _rounded(c.chunks, "specificity", "coverage"))
+_a("chunks", lambda c: _rounded(c.chunks_rows, "specificity", "coverage"))
+_b("chunks_text", lambda c: _rounded(c.chunks_rows, "specificity", "coverage"))
 _a("chunk_sharing", lambda c: scoring.chunk_sharing(scoring.form_spans(c.forms, c.params)))
 _a("chunk_stats", lambda c: reports.chunk_stats(c.chunks))
 _a("least_specific", lambda c: reports.least_specific(_rounded(c.chunks, "specificity")))
@@ -174,8 +192,8 @@ _a("template_match", lambda c: match.template_matches(match.labels_of(c.labels),
 _a("whole_form_match", lambda c: match.whole_form_matches(c.worded, c.matcher.whole_form))
 _b("whole_form_match_text", lambda c: match.whole_form_matches(c.worded, c.matcher.whole_form))
 _a("alias_match", lambda c: match.alias_matches(c.worded, c.matcher.alias).drop("size"))
-_a("match_all", lambda c: c.matches)
-_b("match_all_text", lambda c: c.matches)
+_a("match_all", lambda c: c.matches_rows)
+_b("match_all_text", lambda c: c.matches_rows)
 _a("match_summary", lambda c: reports.match_summary(c.matches))
 _a("matches_by_method", lambda c: reports.matches_by_method(c.matches))
 _a("evidence_pairs", lambda c: evaluate.evidence_pairs(c.evidence))
@@ -188,7 +206,7 @@ _a("specificity_fixes", lambda c: evaluate.specificity_fixes(c.matches, c.eviden
 _a("novelty", lambda c: evaluate.novelty(c.matches, c.evidence))
 _a("novelty_by_method", lambda c: evaluate.novelty_by_method(c.matches, c.evidence))
 _a("new_candidates", lambda c: evaluate.new_candidates(c.matches, c.evidence, c.diseases))
-_a("low_confidence", lambda c: c.low)
+_a("low_confidence", lambda c: c.low_rows)
 _a("cache_key", lambda c: c.matches.select("pathwayId", cache_key(F.col("pathwayLabel"), F.col("diseaseId"), F.col("matchedText")).alias("key")))
 _a("judge_batches", _batches)
 _a("judge_prompt", lambda c: adjudicate.prompts(_batches(c)))

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .kernels import flat, id_array, ids_of, word_hashes, words_of
-from .repeats import Units, covered, union_of, with_texts
+from .repeats import KEY, Units, covered, filters, keyed, partitions, union_of, with_texts
 
 LENGTH, GRAM = 20, 8
 
@@ -38,13 +38,19 @@ def _symbols(buf: np.ndarray, offsets: np.ndarray):
 UNITS = Units(_symbols, LENGTH, GRAM, 1 << 20)
 
 
+def _found(docs: DataFrame) -> tuple[DataFrame, int]:
+    n = partitions(docs.sparkSession)
+    return covered(docs, UNITS, filters(docs, UNITS, n)), n
+
+
 def paths(docs: DataFrame) -> DataFrame:
     """Compacted repeats: doc_id, start and words of each, and where its words stand first."""
-    found, n = covered(docs, UNITS)
+    docs = keyed(docs.select("doc_id", "text"))
+    found, n = _found(docs)
 
     def finish(batch, ranges):
         rows: list[list[np.ndarray]] = []
-        for doc in dict.fromkeys(ids_of(batch).tolist()):
+        for doc in dict.fromkeys(ids_of(batch, KEY).tolist()):
             start, end, source, source_start = ranges(doc)
             order = np.lexsort((start, source_start - start, source))
             start, end, source, shift = start[order], end[order], source[order], (source_start - start)[order]
@@ -56,7 +62,7 @@ def paths(docs: DataFrame) -> DataFrame:
         out = [np.concatenate(x) for x in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * 5
         return pa.record_batch([id_array(out[0]), *(pa.array(x, pa.int64()) for x in out[1:3]), id_array(out[3]), pa.array(out[4], pa.int64())], ["doc_id", "start", "n_words", "source_doc", "source_start"])
 
-    return with_texts(docs.select("doc_id", "text"), found, n, finish, "doc_id long, start long, n_words long, source_doc long, source_start long")
+    return with_texts(docs, found, n, finish, "doc_id long, start long, n_words long, source_doc long, source_start long")
 
 
 def _kept(batch, ranges):
@@ -64,7 +70,7 @@ def _kept(batch, ranges):
     buf, offsets = flat(batch.column("text"))
     starts, ends, first = words_of(buf, offsets)
     raw = buf.tobytes()
-    for i, doc in enumerate(ids_of(batch).tolist()):
+    for i, doc in enumerate(ids_of(batch, KEY).tolist()):
         a, b = int(first[i]), int(first[i + 1])
         low, high = union_of(*ranges(doc)[:2])
         keep = np.ones(b - a, bool)
@@ -75,28 +81,30 @@ def _kept(batch, ranges):
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    found, n = covered(docs, UNITS)
+    docs = keyed(docs.select("doc_id", "text"))
+    found, n = _found(docs)
 
     def finish(batch, ranges):
         rows = [(w, r, hashlib.sha256(kept).hexdigest()) for w, r, kept in _kept(batch, ranges)]
         words, removed, sha = zip(*rows, strict=True)
         return pa.record_batch([id_array(ids_of(batch)), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return with_texts(docs.select("doc_id", "text"), found, n, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return with_texts(docs, found, n, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """The same rows; the text of documents that lose words is what is left, joined by one space."""
-    found, n = covered(docs, UNITS)
+    schema, docs = docs.schema, keyed(docs)
+    found, n = _found(docs)
 
     def finish(batch, ranges):
         texts = batch.column("text")
         new = [kept.decode("utf-8", "replace") if removed else None for _, removed, kept in _kept(batch, ranges)]
         same = pa.array([t is None for t in new])
         at = batch.schema.get_field_index("text")
-        return batch.set_column(at, batch.schema.field(at), pc.if_else(same, texts, pa.array(new, texts.type)))
+        return batch.set_column(at, batch.schema.field(at), pc.if_else(same, texts, pa.array(new, texts.type))).drop_columns([KEY])
 
-    return with_texts(docs, found, n, finish, docs.schema)
+    return with_texts(docs, found, n, finish, schema)
 
 
 def oracle() -> str:

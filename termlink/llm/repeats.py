@@ -1,11 +1,11 @@
-"""Exact removal of repeated windows over symbol sequences, in packed shuffles.
+"""Repeated windows over symbol sequences: the rounds that both repeat removers share, in packed shuffles.
 
 Round 1 counts anchors and leaves two filters of fixed size: anchors that occur again, and anchors that
-occur again with other surroundings.  Round 2 names whole blocks under an anchor that occurs again: every
-occurrence of a block but the first (smallest document, then place) is covered by earlier windows.  Only
-blocks whose anchor has several surroundings ship their single windows as well.  A filter may let too much
-through, never too little (surroundings are told apart by 63 bits of their names), and rounds 2 and 3
-compare full identities, so the result is exact.  Round 3 brings each document's covered ranges to its text.
+occur again with other surroundings (anchors that branch).  Round 2 names whole blocks under an anchor that
+occurs again without branching: every occurrence of a block but the first (smallest document, then place) is
+covered by earlier windows.  What stands under a branching anchor is compared more finely: as single windows
+(words), or by ranks of growing strings (bytes).  A filter may let too much through, never too little
+(surroundings are told apart by 63 bits of their names): a full filter costs exchange, not repeats.
 
 Each task first drops what its own texts already decide, so a passage that a third of all documents share
 reaches an exchange once per task, not once per document.
@@ -18,14 +18,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
+from ..operators.order import numbered
 from .kernels import PACKED, cut, deal, flat, ids_of, mix, packed, partitions, task, text_blocks
 from .skeleton import Blocks, blocks
 
 FILTER_BITS_EACH = 1 << 20  # per shuffle partition
 FILTER_BITS_MOST = 1 << 28  # each filter stays under 32 MB
 GATHERED = 1 << 17  # anchors that a task brings together before it ships them
+KEY = "__document__"
 _U = np.uint64
 
 
@@ -41,7 +43,21 @@ class Units:
     def blocks(self, batches):
         for batch in text_blocks(batches, self.block_bytes):
             symbols, first = self.symbols(*flat(batch.column("text")))
-            yield ids_of(batch), blocks(symbols, first, self.length, self.gram)
+            yield batch, ids_of(batch, KEY), blocks(symbols, first, self.length, self.gram)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(KEY, then the columns of ``docs``): a number for each document, in the order of doc_id.
+
+    It is the doc_id itself, unless an id stands for several texts (all null ids are one id): then each
+    distinct (doc_id, text) is a document, told apart and ordered by a hash of the text after the id.
+    """
+    tag = F.xxhash64(F.coalesce("text", F.lit("")))
+    bad = docs.groupBy("doc_id").agg((F.min(tag) != F.max(tag)).alias("differ")).where("differ").limit(1).count()
+    if not bad:
+        return docs.select(F.col("doc_id").cast("long").alias(KEY), "*")
+    pairs = numbered(docs.select(F.col("doc_id").alias("__id__"), tag.alias("__tag__")).distinct(), "__id__", "__tag__", name=KEY)
+    return docs.join(pairs, docs["doc_id"].eqNullSafe(pairs["__id__"]) & (tag == pairs["__tag__"])).select(pairs[KEY], *(docs[c] for c in docs.columns))
 
 
 def _places(anchor: np.ndarray, bits: int) -> np.ndarray:
@@ -85,7 +101,27 @@ def _from_planes(blob: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.frombuffer(blob, np.uint8, 4 * n, 8).reshape(4, n).T.copy().view("<u4").ravel(), dtype=np.int64)
 
 
-def _filters(docs: DataFrame, units: Units, n: int) -> tuple[bytes, bytes, int]:
+@dataclass(frozen=True)
+class Filters:
+    """Which anchors occur again, and which of these branch."""
+
+    again: bytes
+    several: bytes
+    bits: int
+    parts: int
+
+    def tables(self):
+        return np.frombuffer(self.again, np.uint8), np.frombuffer(self.several, np.uint8)
+
+    def holds(self, table: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+        each = -(-self.bits // self.parts)
+        place = _places(anchor, self.bits)
+        part, local = place // _U(each), place % _U(each)
+        at = (part * _U(-(-each // 8)) + local // _U(8)).astype(np.int64)
+        return (table[at] >> (local % _U(8)).astype(np.uint8)) & 1 > 0
+
+
+def filters(docs: DataFrame, units: Units, n: int) -> Filters:
     """Filters over anchors: met again; met again with other surroundings.
 
     An entry is the anchor's place and as much of the anchor as fits four bytes with it, then the block's
@@ -98,7 +134,7 @@ def _filters(docs: DataFrame, units: Units, n: int) -> tuple[bytes, bytes, int]:
     def gathered(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
-        for _, b in units.blocks(batches):
+        for _, _, b in units.blocks(batches):
             held.append((b.anchor, b.name))
             size += len(b.anchor)
             if size >= GATHERED:
@@ -151,36 +187,26 @@ def _filters(docs: DataFrame, units: Units, n: int) -> tuple[bytes, bytes, int]:
         yield pa.record_batch([pa.array(pids[:1], pa.int32()), pa.array(out[:1], pa.binary()), pa.array(out[1:], pa.binary())], ["pid", "again", "several"])
 
     width = -(-each // 8)
-    found = deal(docs.mapInArrow(task(count), PACKED), n).mapInArrow(task(settle), "pid int, again binary, several binary")
+    found = deal(docs.select(KEY, "text").mapInArrow(task(count), PACKED), n).mapInArrow(task(settle), "pid int, again binary, several binary")
     again, several = bytearray(width * n), bytearray(width * n)
     for row in found.collect():  # two bit fields for each partition, of bounded size together
         again[row.pid * width : (row.pid + 1) * width] = row.again
         several[row.pid * width : (row.pid + 1) * width] = row.several
-    return bytes(again), bytes(several), bits
-
-
-def _in(filter_: np.ndarray, anchor: np.ndarray, bits: int, n: int) -> np.ndarray:
-    each = -(-bits // n)
-    place = _places(anchor, bits)
-    part, local = place // _U(each), place % _U(each)
-    at = (part * _U(-(-each // 8)) + local // _U(8)).astype(np.int64)
-    return (filter_[at] >> (local % _U(8)).astype(np.uint8)) & 1 > 0
+    return Filters(bytes(again), bytes(several), bits, n)
 
 
 def _doc_pid(doc: np.ndarray, n: int) -> np.ndarray:
     return (mix(doc.astype(np.uint64)) % _U(n)).astype(np.int64)
 
 
-def covered(docs: DataFrame, units: Units) -> tuple[DataFrame, int]:
+def covered(docs: DataFrame, units: Units, known: Filters, windows: bool = True) -> DataFrame:
     """Packed rows by document: ranges (start, end) covered by earlier windows, with the source's place.
 
-    Ranges of a document may overlap; ``source`` and ``source_start`` say where the same symbols stand first.
+    ``source`` and ``source_start`` say where the same symbols stand earlier.  Blocks under branching anchors are
+    compared window by window, or left to the caller.  A window is in one range at most.
     """
-    spark = docs.sparkSession
-    n = partitions(spark)
-    docs = docs.select("doc_id", "text")
-    again, several, bits = _filters(docs, units, n)
-    shared_filters = spark.sparkContext.broadcast((again, several))
+    n = known.parts
+    shared_filters = docs.sparkSession.sparkContext.broadcast(known)
     length = units.length
 
     def emit(kind: int, keys: np.ndarray, doc: np.ndarray, start: np.ndarray, count: np.ndarray):
@@ -193,19 +219,24 @@ def covered(docs: DataFrame, units: Units) -> tuple[DataFrame, int]:
             yield p, bytes([kind]) + _write(keys[s], np.diff(doc[s], prepend=0), step.astype("<i4"), count[s].astype("<u2"))
 
     def name_blocks(batches):
-        repeated, ambiguous = (np.frombuffer(x, np.uint8) for x in shared_filters.value)
-        for ids, b in units.blocks(batches):
-            live = np.flatnonzero(_in(repeated, b.anchor, bits, n))
+        known = shared_filters.value
+        repeated, branching = known.tables()
+        for _, ids, b in units.blocks(batches):
+            live = np.flatnonzero(known.holds(repeated, b.anchor))
+            branch = known.holds(branching, b.anchor[live])
+            if not windows:
+                live, branch = live[~branch], np.zeros(int((~branch).sum()), bool)
             if not len(live):
                 continue
             doc, name = ids[b.doc[live]], b.name[live]
             first_doc, first_low = _first_of(name, doc, b.low[live])
             own = (first_doc == doc) & (first_low == b.low[live])
-            rows = list(emit(0, name[own], doc[own], b.low[live][own], b.count[live][own]))
+            whole = own & ~branch
+            rows = list(emit(0, name[whole], doc[whole], b.low[live][whole], b.count[live][whole]))
             late = ~own
             if late.any():  # decided here; goes on as a finding
-                rows += list(_findings(doc[late], b.low[live][late], b.low[live][late] + b.count[live][late] - 1 + length, first_doc[late], first_low[late], n, bytes([2])))
-            loose = live[own][_in(ambiguous, b.anchor[live][own], bits, n)]
+                rows += list(findings(doc[late], b.low[live][late], b.low[live][late] + b.count[live][late] - 1 + length, first_doc[late], first_low[late], n, bytes([2])))
+            loose = live[own & branch]
             if len(loose):
                 at, start, key = b.windows(loose, length)
                 at = ids[at]
@@ -213,7 +244,7 @@ def covered(docs: DataFrame, units: Units) -> tuple[DataFrame, int]:
                 own = (first_doc == at) & (first_start == start)
                 rows += list(emit(1, key[own], at[own], start[own], np.ones(int(own.sum()), np.int64)))
                 if not own.all():
-                    rows += list(_findings(at[~own], start[~own], start[~own] + length, first_doc[~own], first_start[~own], n, bytes([2])))
+                    rows += list(findings(at[~own], start[~own], start[~own] + length, first_doc[~own], first_start[~own], n, bytes([2])))
             yield packed([p for p, _ in rows], [x for _, x in rows])
 
     def settle(batches):
@@ -234,14 +265,14 @@ def covered(docs: DataFrame, units: Units) -> tuple[DataFrame, int]:
                 parts[kind] = []
                 first_doc, first_start = _first_of(key, doc, start)
                 late = (first_doc != doc) | (first_start != start)
-                rows = list(_findings(doc[late], start[late], start[late] + count[late].astype(np.int64) - 1 + length, first_doc[late], first_start[late], n, b""))
+                rows = list(findings(doc[late], start[late], start[late] + count[late].astype(np.int64) - 1 + length, first_doc[late], first_start[late], n, b""))
                 yield packed([p for p, _ in rows], [x for _, x in rows])
 
-    named = deal(docs.mapInArrow(task(name_blocks), PACKED), n)
-    return named.mapInArrow(task(settle), PACKED), n
+    named = deal(docs.select(KEY, "text").mapInArrow(task(name_blocks), PACKED), n)
+    return named.mapInArrow(task(settle), PACKED)
 
 
-def _findings(doc, start, end, source, source_start, n: int, mark: bytes):
+def findings(doc, start, end, source, source_start, n: int, mark: bytes = b""):
     """Packed findings by document; neighbouring ranges with the same source run are joined first."""
     order = np.lexsort((start, doc))
     doc, start, end, source, source_start = doc[order], start[order], end[order], source[order], source_start[order]
@@ -274,20 +305,20 @@ def _ipc(batch: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def with_texts(docs: DataFrame, findings: DataFrame, n: int, finish, schema: str) -> DataFrame:
+def with_texts(docs: DataFrame, found_rows: DataFrame, n: int, finish, schema) -> DataFrame:
     """Brings texts and findings of a document together and calls ``finish(batch, ranges)`` on batches of ``docs``.
 
-    ``ranges`` maps a doc_id to its (start, end, source, source_start) rows, in no order.
+    ``ranges`` maps a document's KEY to its (start, end, source, source_start) rows, in no order.
     """
 
     def place(batches):
         """Texts by document, many in one compressed row."""
         for block in text_blocks(batches):
-            order, ends = cut(_doc_pid(ids_of(block), n), n)
+            order, ends = cut(_doc_pid(ids_of(block, KEY), n), n)
             full = np.flatnonzero(np.diff(ends)).tolist()
             yield packed(full, [TEXTS + _ipc(block.take(pa.array(order[ends[p] : ends[p + 1]]))) for p in full])
 
-    rows = docs.mapInArrow(task(place), PACKED).unionByName(findings)
+    rows = docs.mapInArrow(task(place), PACKED).unionByName(found_rows)
 
     def run(batches):
         held, found = [], []
@@ -322,4 +353,4 @@ def union_of(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start[new], end[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(end) - 1]])]
 
 
-__all__ = ["Blocks", "Units", "covered", "read_findings", "union_of", "with_texts"]
+__all__ = ["Blocks", "Filters", "Units", "covered", "filters", "findings", "keyed", "partitions", "read_findings", "union_of", "with_texts"]

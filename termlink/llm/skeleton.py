@@ -26,6 +26,7 @@ class Blocks:
     count: np.ndarray  # windows
     anchor: np.ndarray  # identity of the anchor gram
     name: np.ndarray  # identity of all the block's symbols
+    at: np.ndarray  # the anchor's place
     prefix: np.ndarray
     first: np.ndarray  # documents' first symbols
 
@@ -52,7 +53,7 @@ def blocks(symbols: np.ndarray, first: np.ndarray, length: int, gram: int) -> Bl
     windows = np.maximum(np.diff(first) - length + 1, 0)
     if not windows.sum():
         none = np.zeros(0, np.int64)
-        return Blocks(none, none, none, np.zeros(0, _U), np.zeros(0, _U), prefix, first)
+        return Blocks(none, none, none, np.zeros(0, _U), np.zeros(0, _U), none, prefix, first)
     at = np.arange(len(symbols) - gram + 1)
     grams = range_hash(prefix, at, at + gram)
     bits = _U((1 << len(symbols).bit_length()) - 1)
@@ -63,4 +64,4 @@ def blocks(symbols: np.ndarray, first: np.ndarray, length: int, gram: int) -> Bl
     begin = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]))
     count = np.diff(np.concatenate([begin, [len(start)]]))
     low, doc = start[begin], doc[begin]
-    return Blocks(doc, low - first[doc], count, grams[anchor[begin]], range_hash(prefix, low, low + count - 1 + length), prefix, first)
+    return Blocks(doc, low - first[doc], count, grams[anchor[begin]], range_hash(prefix, low, low + count - 1 + length), anchor[begin] - first[doc], prefix, first)

@@ -1,14 +1,24 @@
-"""Substring dedup over UTF-8 bytes by minimizer anchors, in place of prefix doubling.
+"""Substring dedup over UTF-8 bytes by prefix doubling over sampled suffixes.
 
-No suffixes are ranked or sorted.  64-bit names are compared: of 32-byte anchors first, then of the blocks
-around anchors that occur again, then of single 100-byte strings where surroundings branch.
+Suffixes are ranked at anchors only: of the 32-byte strings in each 100-byte string one is its anchor, the
+same wherever that string stands, so a sample of about two suffixes in 70 bytes meets every repeat.  An
+anchor's first name covers its 32 bytes; anchors that occur once leave at the first filter, and where all
+surroundings of an anchor agree past the threshold, whole blocks of strings are settled by their names.
+
+At the anchors that branch, ranks grow.  The strings around an anchor begin 0 to 68 bytes before it.  A node
+is a range of such beginnings, and its string the bytes that all of them share, 32 for the whole range.  In
+each round Spark sorts (rank, next bytes, place); equal pairs get the place of the first of them in the order
+as their new rank, places without an equal leave, and nodes are halved, so that their strings grow from 32 by
+34, 17, 9 ... bytes up to 100, to the right for the nearer half and to the left for the farther.  Places whose
+remaining bytes agree too are past the threshold at once: all but the first are covered.  The order is total
+over range partitions, so a rank that many places share spreads over many tasks, and no group is held.
 
 A byte goes if a 100-byte string over it also starts earlier (smaller doc_id, or same document, earlier
 start); overlaps count; strings are judged on the input and lie in one document.
 
 Nulls and edge cases: a null or empty text has no bytes; a null doc_id orders before all others; rows that
-repeat a doc_id with the same text are one document and get equal results; empty tables give no rows; no
-other column is read.
+repeat a doc_id with the same text are one document and get equal results; different texts under one doc_id
+are documents of their own, ordered by a hash of the text; empty tables give no rows; no other column is read.
 """
 
 from __future__ import annotations
@@ -17,37 +27,231 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F
 
-from .kernels import SYMBOL, flat, id_array, ids_of
-from .repeats import Units, covered, union_of, with_texts
+from .kernels import PACKED, SYMBOL, flat, id_array, ids_of, packed, shared, task
+from .repeats import KEY, Filters, Units, _first_of, _ipc, covered, filters, findings, keyed, partitions, union_of, with_texts
 
 LENGTH, GRAM = 100, 32
 UNITS = Units(lambda buf, offsets: (SYMBOL[buf], offsets), LENGTH, GRAM, 1 << 19)
+PAIRS = "rank long, node int, next binary, left binary, right binary, doc long, at long"
+ORDER = ["rank", "node", "next", "left", "right", "doc", "at"]
+GROUP = 3  # columns of ORDER that make a pair
+BLOCK = 1 << 16  # places in a stored block
+HELD = "part int, pid int, blob binary, places long, first struct<rank:long,node:int,next:binary>, last struct<rank:long,node:int,next:binary>"
+
+
+def _nodes() -> list[list[tuple[int, int]]]:
+    """By round: ranges of beginnings, counted in bytes before the anchor; node i has children 2i and 2i + 1."""
+    rounds = [[(0, LENGTH - GRAM)]]
+    while any(a < b for a, b in rounds[-1]):
+        rounds.append([half for a, b in rounds[-1] for half in ((a, (a + b) // 2), ((a + b) // 2 + 1, b))])
+    return rounds
+
+
+NODES = _nodes()
+A0, A1 = ({i: node[k] for level, nodes in enumerate(NODES) for i, node in enumerate(nodes, 1 << level)} for k in (0, 1))
+
+
+def _halves(a0: int, a1: int, left: bytes, right: bytes):
+    """(which half, its next bytes, what is left of the bytes before and behind) where the place has such strings.
+
+    ``left`` ends where the node's string begins and ``right`` begins where it ends; they reach as far as the
+    place's own strings do, so their lengths say which beginnings it has.
+    """
+    near, far, middle = a1 - len(right), a0 + len(left), (a0 + a1) // 2
+    if near <= middle and a0 < a1:
+        reach = min(middle, far) - a0
+        yield 0, right[: a1 - middle], left[len(left) - reach :], right[a1 - middle :]
+    if far > middle and a0 < a1:
+        grown = middle + 1 - a0
+        yield 1, left[len(left) - grown :], left[: len(left) - grown], right[: a1 - max(middle + 1, near)]
+
+
+def _pairs(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(ORDER)
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ORDER)
+
+
+def _first_pairs(docs: DataFrame, known: Filters) -> DataFrame:
+    """The places of branching anchors with both halves of their strings, in blocks (pid -1), and findings for the
+    places whose whole surroundings an earlier one in the same block of texts has."""
+    sent = docs.sparkSession.sparkContext.broadcast(known)
+    top = LENGTH - GRAM
+
+    def run(batches):
+        known = sent.value
+        _, branching = known.tables()
+        rows: list[tuple] = []
+        for batch, ids, b in UNITS.blocks(batches):
+            live = np.flatnonzero(known.holds(branching, b.anchor))
+            if not len(live):
+                continue
+            doc, low, count = ids[b.doc[live]], b.low[live], b.count[live]
+            first_doc, first_low = _first_of(b.name[live], doc, low)
+            own = (first_doc == doc) & (first_low == low)
+            late = list(findings(doc[~own], low[~own], (low + count - 1 + LENGTH)[~own], first_doc[~own], first_low[~own], known.parts)) if not own.all() else []
+            if late:
+                yield packed([p for p, _ in late], [x for _, x in late])
+            raw, begin = flat(batch.column("text"))[0].tobytes(), b.first[b.doc[live]]
+            ranks = b.anchor[live].view(np.int64)
+            for d, p, s, c, o, r in zip(*(x[own].tolist() for x in (doc, b.at[live], low, count, begin, ranks)), strict=True):
+                left, right = raw[o + s : o + p], raw[o + p + GRAM : o + s + c - 1 + LENGTH]
+                for half, grown, before, behind in _halves(0, top, left, right):
+                    rows.append((r, 2 + half, grown, before, behind, d, p))
+            if len(rows) >= BLOCK:
+                yield packed([-1], [_ipc(_pairs(rows))])
+                rows.clear()
+        if rows:
+            yield packed([-1], [_ipc(_pairs(rows))])
+
+    return docs.select(KEY, "text").mapInArrow(task(run), PACKED)
+
+
+def _unpacked(batches):
+    for batch in batches:
+        for blob in batch.column("blob").to_pylist():
+            yield from pa.ipc.open_stream(blob)
+
+
+def _settle(n: int):
+    """Over sorted places: those after the first with equal bytes become findings; the first go on, in blocks."""
+    pair = pa.struct([("rank", pa.int64()), ("node", pa.int32()), ("next", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), ("pid", pa.int32()), ("blob", pa.binary()), ("places", pa.int64()), ("first", pair), ("last", pair)])
+
+    def run(batches):
+        part = TaskContext.get().partitionId()
+        last, source = None, None
+        kept: list[tuple] = []
+        late: list[tuple] = []
+
+        def stored():
+            if late:
+                for pid, blob in findings(*(np.array(c, np.int64) for c in zip(*late, strict=True)), n):
+                    yield part, pid, blob, 0, None, None
+                late.clear()
+            if kept:
+                ends = [dict(zip(ORDER[:GROUP], r, strict=False)) for r in (kept[0], kept[-1])]
+                yield part, -1, _ipc(_pairs(kept)), len(kept), *ends
+                kept.clear()
+
+        def ready():
+            rows = list(stored())
+            columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
+            return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ORDER), strict=True):
+                same, doc, at = row[:5], row[5], row[6]
+                if same == last:  # as many beginnings as the bytes that are left say
+                    far, near = A0[row[1]] + len(row[3]), A1[row[1]] - len(row[4])
+                    late.append((doc, at - far, at - near + LENGTH, source[0], source[1] - far))
+                else:
+                    last, source = same, (doc, at)
+                    kept.append(row)
+            if len(kept) + len(late) >= BLOCK:
+                yield ready()
+        yield ready()
+
+    return run
+
+
+def _ranks(held: DataFrame) -> tuple[dict, int]:
+    """By range partition: the places before it, the rank of its first pair if that begins in an earlier partition,
+    and its last pair if that goes on in the next; and all places.  One row for each partition is gathered."""
+    figures = held.where("pid = -1").groupBy("part").agg(F.sum("places").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+    rows = sorted(figures.collect(), key=lambda r: r.part)
+    out, before, crossing = {}, 0, None
+    for i, r in enumerate(rows):
+        follows = i > 0 and rows[i - 1].last == r.first
+        goes_on = i + 1 < len(rows) and rows[i + 1].first == r.last
+        out[r.part] = (before, crossing if follows else None, (r.last.rank, r.last.node, bytes(r.last.next)) if goes_on else None)
+        if goes_on and not (follows and r.first == r.last):
+            crossing = -1 - r.part  # such a pair is called after the partition where it begins
+        before += r.n
+    return out, before
+
+
+def _next_pairs(held: DataFrame, ranks: dict) -> DataFrame:
+    """Halves of the places that share their pair with others; the rank is the first such place's in the order."""
+
+    def run(batches):
+        pair, waiting, rank, place, inherited, goes_on, rows = None, None, 0, None, None, None, []
+
+        def grow(row):
+            for half, grown, left, right in _halves(A0[row[1]], A1[row[1]], row[3], row[4]):
+                rows.append((rank, 2 * row[1] + half, grown, left, right, row[5], row[6]))
+
+        for batch in batches:
+            for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                if place is None:
+                    place, inherited, goes_on = ranks[part]
+                for stored in pa.ipc.open_stream(blob):
+                    for row in zip(*(stored.column(c).to_pylist() for c in ORDER), strict=True):
+                        if row[:GROUP] != pair:
+                            pair, waiting, rank = row[:GROUP], row, place
+                            if inherited is not None or pair == goes_on:  # others stand in another partition
+                                rank, waiting = -1 - part if inherited is None else inherited, None
+                                grow(row)
+                            inherited = None
+                        else:
+                            if waiting is not None:
+                                grow(waiting)
+                                waiting = None
+                            grow(row)
+                        place += 1
+                if len(rows) >= BLOCK:
+                    yield _pairs(rows)
+                    rows.clear()
+        yield _pairs(rows)
+
+    return held.where("pid = -1").select("part", "blob").mapInArrow(task(run), PAIRS)
+
+
+def _found(docs: DataFrame, n: int) -> DataFrame:
+    """Packed findings of all rounds, by document (``docs`` has KEY)."""
+    known = filters(docs, UNITS, n)
+    first = shared(_first_pairs(docs, known))
+    found = covered(docs, UNITS, known, windows=False).unionByName(first.where("pid >= 0"))
+    pairs, parts = first.where("pid = -1").mapInArrow(_unpacked, PAIRS), n
+    for level in range(1, len(NODES)):
+        ordered = pairs.repartitionByRange(parts, *ORDER[:5]).sortWithinPartitions(*ORDER)
+        held = shared(ordered.mapInArrow(task(_settle(n)), HELD))
+        found = found.unionByName(held.where("pid >= 0").select("pid", "blob"))
+        ranks, places = _ranks(held)
+        if not places or level + 1 == len(NODES):
+            break
+        pairs, parts = _next_pairs(held, ranks), min(n, 1 + places // BLOCK)
+    return found
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """doc_id, start and end (bytes, end exclusive) of every maximal removed run."""
-    found, n = covered(docs, UNITS)
+    docs = keyed(docs.select("doc_id", "text"))
+    n = partitions(docs.sparkSession)
 
     def finish(batch, ranges):
-        runs = [(d, *union_of(*ranges(d)[:2])) for d in dict.fromkeys(ids_of(batch).tolist())]
+        seen = dict(zip(ids_of(batch, KEY).tolist(), ids_of(batch).tolist(), strict=True))
+        runs = [(d, *union_of(*ranges(key)[:2])) for key, d in seen.items()]
         doc = np.concatenate([np.full(len(s), d, np.int64) for d, s, _ in runs])
         return pa.record_batch([id_array(doc), *(pa.array(np.concatenate([r[k] for r in runs]), pa.int64()) for k in (1, 2))], ["doc_id", "start", "end"])
 
-    return with_texts(docs.select("doc_id", "text"), found, n, finish, "doc_id long, start long, end long")
+    return with_texts(docs, _found(docs, n), n, finish, "doc_id long, start long, end long")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """Per document: bytes, bytes and runs removed, and a hash of what is left."""
-    found, n = covered(docs, UNITS)
+    docs = keyed(docs.select("doc_id", "text"))
+    n = partitions(docs.sparkSession)
 
     def finish(batch, ranges):
         buf, offsets = flat(batch.column("text"))
         raw, rows = buf.tobytes(), []
-        for i, doc in enumerate(ids_of(batch).tolist()):
+        for i, key in enumerate(ids_of(batch, KEY).tolist()):
             text = raw[offsets[i] : offsets[i + 1]]
-            low, high = union_of(*ranges(doc)[:2])
+            low, high = union_of(*ranges(key)[:2])
             left, at = hashlib.sha256(), 0
             for s, e in zip(low.tolist(), high.tolist(), strict=True):
                 left.update(text[at:s])
@@ -57,7 +261,7 @@ def digest(docs: DataFrame) -> DataFrame:
         size, removed, runs, sha = zip(*rows, strict=True)
         return pa.record_batch([id_array(ids_of(batch)), *(pa.array(x, pa.int64()) for x in (size, removed, runs)), pa.array(sha)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return with_texts(docs.select("doc_id", "text"), found, n, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_texts(docs, _found(docs, n), n, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def oracle() -> str:

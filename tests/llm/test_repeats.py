@@ -77,9 +77,9 @@ def test_bytes(docs):
 def test_surroundings_whose_names_agree_in_low_bits(docs, monkeypatch):
     class Agree(Units):
         def blocks(self, batches):
-            for ids, b in super().blocks(batches):
+            for batch, ids, b in super().blocks(batches):
                 b.name = b.name & ~np.uint64(0xFFFF)
-                yield ids, b
+                yield batch, ids, b
 
     texts = TEXTS + WIDE
     for module, sequences in (

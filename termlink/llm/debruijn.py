@@ -1,10 +1,14 @@
 """Substring dedup over words by compaction of a de Bruijn graph.
 
-Edges are token k-mers: the windows of ``LENGTH`` words, where two that follow each other share all words
-but one.  Runs of edges under one anchor stand for themselves as long as their surroundings do not branch
-(a block); at a branch the single edges are compared.  Repeated edges that run alongside the same source
-compact into paths, joined by document, and the source coordinates that each finding carries verify a
-path: it is only as long as the source runs in step.
+Edges are token k-mers: the windows of ``LENGTH`` words.  An edge leads from the node of its first ``LENGTH - 1``
+words to the node of its last, so edges that follow each other in a document meet in a node.  Only edges under an
+anchor that occurs again are looked at; where an anchor's surroundings never branch, the edges around it travel
+as one block, elsewhere one by one.  What starts earlier elsewhere is a repeated run of edges with its source.
+
+Repeated runs compact through Spark joins: the nodes where runs along one source begin are joined with the nodes
+where such runs end, and a node that is both (one run leads in, one out) vanishes.  The nodes that are left, begin
+or end the paths.  Each path then carries source coordinates, and these verify it: the words at both places are
+brought from the texts, and only a path whose words have the same 128-bit digest as its source's takes words away.
 
 Words are maximal runs without white space, unchanged; a window lies in one document.  A word goes if a
 window over it has its sequence of words starting earlier (smaller doc_id, or same document, earlier
@@ -12,7 +16,8 @@ start).  Windows are judged on the input.
 
 Nulls and edge cases: a null or empty text has no words and keeps the empty string; a null doc_id orders
 before all others; rows that repeat a doc_id with the same text are one document and get equal results;
-empty tables give no rows; other columns pass through ``drop_repeats`` untouched.
+different texts under one doc_id are documents of their own, ordered by a hash of the text; empty tables give
+no rows; other columns pass through ``drop_repeats`` untouched.
 """
 
 from __future__ import annotations
@@ -22,12 +27,15 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .kernels import flat, id_array, ids_of, word_hashes, words_of
-from .repeats import KEY, Units, covered, filters, keyed, partitions, union_of, with_texts
+from .kernels import PACKED, flat, id_array, ids_of, packed, shared, task, word_hashes, words_of
+from .repeats import KEY, Units, covered, filters, findings, keyed, partitions, read_findings, union_of, with_texts
 
 LENGTH, GRAM = 20, 8
+RUNS = "doc long, source long, shift long, first long, last long"
+SIGNED = "doc long, doc_id long, start long, n_words long, source long, source_start long, digest binary"
+_ALONG = ["doc", "source", "shift"]
 
 
 def _symbols(buf: np.ndarray, offsets: np.ndarray):
@@ -38,31 +46,71 @@ def _symbols(buf: np.ndarray, offsets: np.ndarray):
 UNITS = Units(_symbols, LENGTH, GRAM, 1 << 20)
 
 
-def _found(docs: DataFrame) -> tuple[DataFrame, int]:
+def _runs(batches):
+    """Rows of repeated runs: their first and last node, and how far on the source stands."""
+    for batch in batches:
+        for blob in batch.column("blob").to_pylist():
+            doc, start, end, source, source_start = read_findings(blob)
+            columns = (doc, source, source_start - start, start, end - (LENGTH - 1))
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["doc", "source", "shift", "first", "last"])
+
+
+def compacted(runs: DataFrame) -> DataFrame:
+    """(doc, start, n_words, source, source_start): maximal paths of repeated runs along one source."""
+    begin = runs.select(*_ALONG, F.col("first").alias("node")).groupBy(*_ALONG, "node").agg(F.count(F.lit(1)).alias("leads_out"))
+    end = runs.select(*_ALONG, F.col("last").alias("node")).groupBy(*_ALONG, "node").agg(F.count(F.lit(1)).alias("leads_in"))
+    step = F.coalesce("leads_out", F.lit(0)) - F.coalesce("leads_in", F.lit(0))
+    left = begin.join(end, [*_ALONG, "node"], "full_outer").withColumn("step", step).where("step <> 0")
+    order = Window.partitionBy(*_ALONG).orderBy("node")
+    depth = F.sum("step").over(order)  # runs of copied rows may overlap; most nodes here have depth 1 or 0
+    ends = left.withColumn("depth", depth).where("depth = 0 OR depth = step").withColumn("stop", F.lead("node").over(order)).where("depth <> 0")
+    return ends.select("doc", F.col("node").alias("start"), (F.col("stop") - F.col("node") + LENGTH - 1).alias("n_words"), "source", (F.col("node") + F.col("shift")).alias("source_start"))
+
+
+def _packed_claims(n: int):
+    def run(batches):
+        for batch in batches:
+            doc, start, size, source, source_start = (np.asarray(batch.column(c)) for c in ("doc", "start", "n_words", "source", "source_start"))
+            rows = list(findings(doc, start, start + size, source, source_start, n, join=False))
+            yield packed([p for p, _ in rows], [x for _, x in rows])
+
+    return run
+
+
+def _signed(batch, ranges):
+    """Digests of the words at all places that are asked for in these texts."""
+    buf, offsets = flat(batch.column("text"))
+    starts, ends, first = words_of(buf, offsets)
+    raw, rows = buf.tobytes(), []
+    for key, doc, base in zip(ids_of(batch, KEY).tolist(), ids_of(batch).tolist(), first[:-1].tolist(), strict=True):
+        for a, b, source, source_start in zip(*(c.tolist() for c in ranges(key)), strict=True):
+            words = b" ".join([raw[s:e] for s, e in zip(starts[base + a : base + b].tolist(), ends[base + a : base + b].tolist(), strict=True)])
+            rows.append((key, doc, a, b - a, source, source_start, hashlib.blake2b(words, digest_size=16).digest()))
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+    arrays = [pa.array(columns[0], pa.int64()), id_array(np.array(columns[1], np.int64)), *(pa.array(c, pa.int64()) for c in columns[2:6]), pa.array(columns[6], pa.binary())]
+    return pa.record_batch(arrays, ["doc", "doc_id", "start", "n_words", "source", "source_start", "digest"])
+
+
+def _verified(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Paths whose words stand at their source's coordinates too (``docs`` has KEY)."""
     n = partitions(docs.sparkSession)
-    return covered(docs, UNITS, filters(docs, UNITS, n)), n
+    found = covered(docs, UNITS, filters(docs, UNITS, n))
+    paths = shared(compacted(found.mapInArrow(_runs, RUNS)))
+    sources = paths.select(F.col("source").alias("doc"), F.col("source_start").alias("start"), "n_words").distinct()  # many copies ask for one place
+    asked = paths.unionByName(sources.select("doc", "start", "n_words", F.col("doc").alias("source"), F.lit(-1).cast("long").alias("source_start")))
+    signed = shared(with_texts(docs.select(KEY, "doc_id", "text"), asked.mapInArrow(task(_packed_claims(n)), PACKED), n, _signed, SIGNED).distinct())
+    place = signed.where("source_start < 0").select(F.col("doc").alias("source"), F.col("start").alias("source_start"), "n_words", "digest", F.col("doc_id").alias("source_doc"))
+    return signed.where("source_start >= 0").join(place, ["source", "source_start", "n_words", "digest"]).drop("digest"), n
 
 
 def paths(docs: DataFrame) -> DataFrame:
-    """Compacted repeats: doc_id, start and words of each, and where its words stand first."""
-    docs = keyed(docs.select("doc_id", "text"))
-    found, n = _found(docs)
+    """Verified paths: doc_id, start and words of each, and where its words stand first."""
+    return _verified(keyed(docs.select("doc_id", "text")))[0].select("doc_id", "start", "n_words", "source_doc", "source_start")
 
-    def finish(batch, ranges):
-        rows: list[list[np.ndarray]] = []
-        for doc in dict.fromkeys(ids_of(batch, KEY).tolist()):
-            start, end, source, source_start = ranges(doc)
-            order = np.lexsort((start, source_start - start, source))
-            start, end, source, shift = start[order], end[order], source[order], (source_start - start)[order]
-            if len(start):
-                apart = (source[1:] != source[:-1]) | (shift[1:] != shift[:-1]) | (start[1:] > end[:-1])
-                begin = np.flatnonzero(np.concatenate([[True], apart]))
-                stop = np.maximum.reduceat(end, begin)
-                rows.append([np.full(len(begin), doc), start[begin], stop - start[begin], source[begin], start[begin] + shift[begin]])
-        out = [np.concatenate(x) for x in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * 5
-        return pa.record_batch([id_array(out[0]), *(pa.array(x, pa.int64()) for x in out[1:3]), id_array(out[3]), pa.array(out[4], pa.int64())], ["doc_id", "start", "n_words", "source_doc", "source_start"])
-
-    return with_texts(docs, found, n, finish, "doc_id long, start long, n_words long, source_doc long, source_start long")
+
+def _found(docs: DataFrame) -> tuple[DataFrame, int]:
+    verified, n = _verified(docs)
+    return verified.mapInArrow(task(_packed_claims(n)), PACKED), n
 
 
 def _kept(batch, ranges):

@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.stored import stored
+
 NULL_ID = -(2**63)  # stands for a null doc_id inside a kernel
 BLOCK_BYTES = 1 << 20  # working arrays take some sixty bytes for each byte of a block
 PACKED = "pid int, blob binary"
@@ -174,14 +176,7 @@ def deal(frame: DataFrame, n: int) -> DataFrame:
 
 def shared(frame: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint, in the folder that the cluster names."""
-    context = frame.sparkSession.sparkContext
-    if not (frame.sparkSession.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().isDefined()):
-        import tempfile
-
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="termlink-checkpoint-"))
-    elif not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir"))
-    return frame.checkpoint()
+    return stored(frame)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -272,11 +272,11 @@ def covered(docs: DataFrame, units: Units, known: Filters, windows: bool = True)
     return named.mapInArrow(task(settle), PACKED)
 
 
-def findings(doc, start, end, source, source_start, n: int, mark: bytes = b""):
-    """Packed findings by document; neighbouring ranges with the same source run are joined first."""
+def findings(doc, start, end, source, source_start, n: int, mark: bytes = b"", join: bool = True):
+    """Packed findings by document; neighbouring ranges with the same source run are joined first, if asked for."""
     order = np.lexsort((start, doc))
     doc, start, end, source, source_start = doc[order], start[order], end[order], source[order], source_start[order]
-    if len(doc):
+    if join and len(doc):
         follows = (doc[1:] == doc[:-1]) & (source[1:] == source[:-1]) & (start[1:] <= end[:-1]) & (source_start[1:] - start[1:] == source_start[:-1] - start[:-1])
         begin = np.flatnonzero(np.concatenate([[True], ~follows]))
         end = np.maximum.reduceat(end, begin)

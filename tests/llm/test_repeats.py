@@ -1,12 +1,14 @@
 import hashlib
+import random
 import re
 
 import numpy as np
 import pytest
 from comparing import same_rows
 from fixtures import corpus, frame
+from pyspark.sql import functions as F
 
-from termlink.llm import debruijn, suffixes
+from termlink.llm import debruijn, repeats, suffixes
 from termlink.llm.queries import ORACLES, QUERIES
 from termlink.llm.repeats import Units
 
@@ -107,3 +109,67 @@ def test_edges(spark):
 def test_queries_equal_sql(spark, sf_dir, duck):
     for name in ("op4_word_repeats", "op5_byte_repeats"):
         same_rows(QUERIES[name](spark, sf_dir), duck.sql(ORACLES[name]))
+
+
+def word(*parts):
+    return F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(parts[-1])), lambda i: F.hex(F.xxhash64(*(p if hasattr(p, "alias") else F.lit(p) for p in parts[:-1]), i))))
+
+
+PAIRS = 100_000
+
+
+def test_no_word_repeat_is_lost_among_many(spark):
+    """Pairs of documents that share 24 words in different surroundings."""
+    pair = F.floor(F.col("id") / 2)
+    many = spark.range(2 * PAIRS).select(F.col("id").alias("doc_id"), F.concat_ws(" ", word("before", F.col("id"), 9), word("shared", pair, 24), word("behind", F.col("id"), 9)).alias("text"))
+    found = debruijn.digest(many).groupBy((F.col("doc_id") % 2).alias("late"), "n_words", "n_removed").count().collect()
+    assert sorted(map(tuple, found)) == [(0, 42, 0, PAIRS), (1, 42, 24, PAIRS)]
+
+
+def test_no_byte_repeat_is_lost_among_many(spark):
+    """Pairs of documents that share 120 bytes in different surroundings."""
+    side, pair = F.when(F.col("id") % 2 == 0, "x").otherwise("y"), F.floor(F.col("id") / 2)
+    shared = F.substring(F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.lpad(F.hex(F.xxhash64(F.lit("shared"), pair, i)), 16, "g"))), 1, 120)
+    many = spark.range(2 * PAIRS).select(F.col("id").alias("doc_id"), F.concat(word("before", F.col("id"), 4), side, shared, side, word("behind", F.col("id"), 4)).alias("text"))
+    found = suffixes.digest(many).groupBy((F.col("doc_id") % 2).alias("late"), "n_removed", "n_spans").count().collect()
+    assert sorted(map(tuple, found)) == [(0, 0, 0, PAIRS), (1, 120, 1, PAIRS)]
+
+
+def test_different_texts_under_one_id(spark):
+    p, q = (" ".join(f"{x}word{i}" for i in range(30)) for x in "pq")
+    for module in (debruijn, suffixes):
+        found = sorted((r.doc_id, r.n_removed) for r in module.digest(frame(spark, [p, p, q], ids=[1, 5, 5])).collect())
+        whole = 30 if module is debruijn else len(p)
+        assert found == [(1, 0), (5, 0), (5, whole)]
+        none = sorted(r.n_removed for r in module.digest(frame(spark, [p, q, q + " more", None], ids=[None, None, None, None])).collect())
+        assert none[:2] == [0, 0] and len(none) == 4
+    kept = debruijn.drop_repeats(frame(spark, [p, p, q], ids=[1, 5, 5]))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, p), (5, ""), (5, q)]
+
+
+def hot(n=240):
+    rng = random.Random(9)
+    line = " ".join(f"line{i}" for i in range(30))
+    body = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(10, 40)))
+    return [f"{body()} {line} {body()}" if i % 3 else body() for i in range(n)]
+
+
+@pytest.mark.parametrize("small", ["filters", "ranges"])
+def test_small_tables_change_nothing(spark, monkeypatch, small):
+    """Full filters; and a rank that many places share over many range partitions."""
+    if small == "filters":
+        monkeypatch.setattr(repeats, "FILTER_BITS_EACH", 8)
+    else:
+        monkeypatch.setattr(suffixes, "BLOCK", 4)
+    texts = [*hot(), *WIDE]
+    docs = frame(spark, texts).repartition(6)
+    for module, sequences in ((debruijn, [re.findall(r"[^\x20\x09-\x0D]+", t) for t in texts]), (suffixes, [t.encode() for t in texts])):
+        gone = covered(list(enumerate(sequences)), module.LENGTH)
+        assert {r.doc_id: r.n_removed for r in module.digest(docs).collect()} == {i: sum(g) for i, g in gone.items()}
+
+
+def test_runs_compact_into_paths(spark):
+    rows = [(1, 0, 5, 10, 12), (1, 0, 5, 12, 15), (1, 0, 5, 15, 16), (1, 0, 5, 20, 21), (1, 0, 6, 16, 18), (2, 0, 5, 15, 19), (2, 0, 5, 15, 17), (2, 0, 5, 17, 19)]
+    found = debruijn.compacted(spark.createDataFrame(rows, debruijn.RUNS))
+    more = debruijn.LENGTH - 1
+    assert sorted(map(tuple, found.collect())) == [(1, 10, 6 + more, 0, 15), (1, 16, 2 + more, 0, 22), (1, 20, 1 + more, 0, 25), (2, 15, 4 + more, 0, 20)]

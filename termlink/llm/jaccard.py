@@ -305,6 +305,20 @@ def similar(tokens: list[np.ndarray], left: np.ndarray | None = None) -> tuple[n
     return np.nonzero(link)
 
 
+def _dealt(pids: list[int], tasks: list[bytes], blobs: list[bytes]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(pids, pa.int32()), pa.array(tasks, pa.binary()), pa.array(blobs, pa.binary())], ["pid", "task", "blob"])
+
+
+def _compared(pair: bytes | None, members: list[bytes]):
+    """The forest of a block pair: its sets are (block, name, tokens)."""
+    if len(members) > 1:
+        _, low, high = np.frombuffer(pair, "<i8")
+        side, names = (np.array([np.frombuffer(m, "<i8", 1, at)[0] for m in members]) for at in (0, 8))
+        a, b = similar([np.frombuffer(m, "<u8", -1, 16) for m in members], None if low == high else side)
+        if len(a):
+            yield _forest(names.view(np.uint64)[a], names.view(np.uint64)[b])
+
+
 def _links(docs: DataFrame, loose: DataFrame, sets: DataFrame, n: int) -> DataFrame:
     """Edges of true similarity inside the loose groups, a spanning forest of them for each block pair.
 
@@ -355,36 +369,34 @@ def _links(docs: DataFrame, loose: DataFrame, sets: DataFrame, n: int) -> DataFr
                     groups[node] = component, count, low
                 else:
                     held[int(np.frombuffer(blob, "<i8", 1)[0])] = blob
-        pids, blobs = [], []
+        pids, tasks, blobs = [], [], []
         for node, (component, count, name) in groups.items():
             mine = int(mix(np.array([node], np.int64).view(np.uint64) + _U(7))[0] % _U(count))
             for other in range(count):
-                low, high = min(mine, other), max(mine, other)
-                task_ = np.array([component, low * 65536 + high], "<i8")
-                pids.append(int(mix(task_.view(np.uint64)[:1] + mix(task_.view(np.uint64)[1:]))[0] % _U(n)))
-                blobs.append(task_.tobytes() + np.int64(mine).tobytes() + np.int64(name).tobytes() + held[node][8:])
+                pair = np.array([component, min(mine, other), max(mine, other)], "<i8")
+                key = pair.view(np.uint64)
+                pids.append(int(mix(key[:1] + mix(key[1:2] + mix(key[2:])))[0] % _U(n)))
+                tasks.append(pair.tobytes())
+                blobs.append(np.array([mine, name], "<i8").tobytes() + held[node][8:])
                 if len(blobs) >= 1000:
-                    yield packed(pids, blobs)
-                    pids, blobs = [], []
-        yield packed(pids, blobs)
+                    yield _dealt(pids, tasks, blobs)
+                    pids, tasks, blobs = [], [], []
+        yield _dealt(pids, tasks, blobs)
 
     def compare(batches):
-        groups: dict[bytes, list] = {}
+        """Block pairs one after another, as they come sorted."""
+        now, members = None, []
         for batch in batches:
-            for blob in batch.column("blob").to_pylist():
-                groups.setdefault(blob[:16], []).append(blob)
-        for task, members in groups.items():
-            low, high = divmod(int(np.frombuffer(task, "<i8", 2)[1]), 65536)
-            names = np.array([np.frombuffer(m, "<u8", 1, 24)[0] for m in members])
-            side = np.array([np.frombuffer(m, "<i8", 1, 16)[0] for m in members])
-            if len(members) > 1:
-                a, b = similar([np.frombuffer(m, "<u8", -1, 32) for m in members], None if low == high else side)
-                if len(a):
-                    yield _forest(names[a], names[b])
+            for pair, blob in zip(batch.column("task").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                if pair != now:
+                    yield from _compared(now, members)
+                    now, members = pair, []
+                members.append(blob)
+        yield from _compared(now, members)
 
     rows = docs.mapInArrow(task(ship), schema).unionByName(nodes.mapInArrow(task(place), schema))
-    assigned = deal(rows, n).mapInArrow(task(assign), PACKED)
-    return deal(assigned, n).mapInArrow(task(compare), "a long, b long")
+    assigned = deal(rows, n).mapInArrow(task(assign), "pid int, task binary, blob binary")
+    return deal(assigned, n).sortWithinPartitions("task").select("task", "blob").mapInArrow(task(compare), "a long, b long")
 
 
 def classes(docs: DataFrame) -> DataFrame:

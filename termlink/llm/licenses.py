@@ -3,7 +3,9 @@
 A template is plain wording in which ``<<opt>> .. <</opt>>`` may be left out and ``<<var N>>`` stands
 for up to N words of any kind.  It compiles into an automaton over words; a place where its mandatory
 opening stands is accepted only if every mandatory word follows exactly.  ``labels`` has the template's
-name for each acceptance, next to the short phrases' labels.
+name for each acceptance, next to the short phrases' labels.  A ``text-`` template is a whole licence up to the
+end of its disclaimer, a ``header-`` one the notice that a licence asks files to carry, a ``notice-`` one a
+sentence that names a licence.
 
 The score is the share of a text's words that lie in an accepted template or a phrase (0 without words).
 
@@ -37,11 +39,20 @@ TEMPLATES = {
         "limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software "
         "and to permit persons to whom the software is furnished to do so subject to the following conditions the above "
         "copyright notice and this permission notice <<opt>>including the next paragraph<</opt>> shall be included in all "
-        "copies or substantial portions of the software"
+        "copies or substantial portions of the software the software is provided as is without warranty of any kind express "
+        "or implied including but not limited to the warranties of merchantability fitness for a particular purpose and "
+        "noninfringement in no event shall the <<var 12>> be liable for any claim damages or other liability whether in an "
+        "action of contract tort or otherwise arising from out of or in connection with the software or the use or other "
+        "dealings in the software"
     ),
     "text-isc": (
         "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
-        "granted provided that the above copyright notice and this permission notice appear in all copies"
+        "granted provided that the above copyright notice and this permission notice appear in all copies the software is "
+        "provided as is and the author disclaims all warranties with regard to this software including all implied warranties "
+        "of merchantability and fitness in no event shall the author be liable for any special direct indirect or "
+        "consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of "
+        "contract negligence or other tortious action arising out of or in connection with the use or performance of this "
+        "software"
     ),
     "text-bsd": (
         "redistribution and use in source and binary forms with or without modification are permitted provided that the "
@@ -50,17 +61,31 @@ TEMPLATES = {
         "the above copyright notice this list of conditions and the following disclaimer in the documentation and or other "
         "materials provided with the distribution <<opt>><<opt>>3<</opt>> neither the name of <<var 12>> nor the names of its "
         "contributors may be used to endorse or promote products derived from this software without specific prior written "
-        "permission<</opt>>"
+        "permission<</opt>> this software is provided by the <<var 12>> as is and any express or implied warranties including "
+        "but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in "
+        "no event shall the <<var 12>> be liable for any direct indirect incidental special exemplary or consequential damages "
+        "including but not limited to procurement of substitute goods or services loss of use data or profits or business "
+        "interruption however caused and on any theory of liability whether in contract strict liability or tort including "
+        "negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such "
+        "damage"
     ),
     "header-apache-2.0": (
         "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the "
         "license you may obtain a copy of the license at <<var 12>> unless required by applicable law or agreed to in "
-        "writing software distributed under the license is distributed on an as is basis"
+        "writing software distributed under the license is distributed on an as is basis without warranties or conditions of "
+        "any kind either express or implied see the license for the specific language governing permissions and limitations "
+        "under the license"
+    ),
+    "header-mpl-2.0": (
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not "
+        "distributed with this file you can obtain one at <<var 12>> mozilla org <<opt>>mpl 2 0<</opt>> <<opt>>en us mpl 2 0<</opt>>"
     ),
     "header-gpl": (
-        "<<var 8>> is free software you can redistribute it and or modify it under the terms of the gnu general public "
-        "license as published by the free software foundation either version <<var 1>> of the license or at your option "
-        "any later version"
+        "<<var 8>> is free software you can redistribute it and or modify it under the terms of the gnu <<opt>>lesser<</opt>>"
+        " <<opt>>affero<</opt>> general public license as published by the free software foundation either version <<var 2>> of "
+        "the license or at your option any later version <<var 12>> is distributed in the hope that it will be useful but "
+        "without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the "
+        "gnu <<opt>>lesser<</opt>> <<opt>>affero<</opt>> general public license for more details"
     ),
 }
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -135,6 +136,65 @@ def test_templates_accept_their_variants_only(spark):
         assert (name in found[i].labels.split(",")) == wanted, (name, text)
 
 
+def parsed(markup):
+    """Words, (n,) for up to n words of any kind, and lists for what may be left out."""
+    stack = [[]]
+    for m in re.finditer(r"<<opt>>|<</opt>>|<<var (\d+)>>|[^\s<]+", markup):
+        if m[0] == "<<opt>>":
+            stack.append([])
+        elif m[0] == "<</opt>>":
+            inner = stack.pop()
+            stack[-1].append(inner)
+        else:
+            stack[-1].append((int(m[1]),) if m[1] else m[0])
+    (whole,) = stack
+    while not isinstance(whole[0], str):
+        whole = whole[1:]
+    return whole
+
+
+def ends(parts, words, at):
+    """All places where the parts can end that begin at ``at``."""
+    now = {at}
+    for part in parts:
+        if isinstance(part, str):
+            now = {i + 1 for i in now if words[i : i + 1] == [part]}
+        elif isinstance(part, tuple):
+            now = {i + k for i in now for k in range(part[0] + 1) if i + k <= len(words)}
+        else:
+            now |= {e for i in now for e in ends(part, words, i)}
+    return now
+
+
+def test_labels_and_score_against_brute_force(spark):
+    rng = random.Random(4)
+    noise = "the software is mit license apache may general public zz of".split()
+    texts = []
+    for markup in licenses.TEMPLATES.values():
+        for _ in range(6):
+            words = rng.choice(variants(markup)).split()
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                words[rng.randrange(len(words))] = rng.choice([*noise, "as is"])
+            words = [*rng.choices(noise, k=rng.randrange(6)), *words[: rng.choice([None, None, len(words) - 1])], *rng.choices(noise, k=rng.randrange(6))]
+            texts.append(" ".join(words))
+    wanted = {name: parsed(markup) for name, markup in licenses.TEMPLATES.items()}
+    for r in licenses.scan(frame(spark, texts)).collect():
+        words = texts[r.doc_id].split()
+        inside, labels = set(), set()
+        for p, label in licenses.PHRASES.items():
+            for i in range(len(words)):
+                if words[i : i + len(p.split())] == p.split():
+                    labels.add(label)
+                    inside |= set(range(i, i + len(p.split())))
+        for name, parts in wanted.items():
+            for i in range(len(words)):
+                if found := ends(parts, words, i):
+                    labels.add(name)
+                    inside |= set(range(i, max(found)))
+        assert r.labels == ",".join(sorted(labels)), texts[r.doc_id]
+        assert abs(r.score - len(inside) / len(words)) < 1e-12
+
+
 def test_repeated_rows_and_null_ids(spark):
     docs = frame(spark, ["a@b.com mit license"] * 3, ids=[None, 7, 7])
     for result in (pii.digest(docs), licenses.scan(docs), quality_rules.apply_rules(docs)):

@@ -7,11 +7,11 @@ then calibrated on labelled documents held back from training, a small logistic
 calibrated views, and every document is scored in one pass without a shuffle.
 
 Only the labelled documents are a bounded sample, by smallest hash of doc_id: ``LABELLED`` at most, a fifth
-of them held back.  Every other document takes part in each round without a label: both views of all
+of them held back for calibration and a tenth, which nothing is fitted on, for the threshold.  Every other document takes part in each round without a label: both views of all
 documents are computed once and kept, each task adds up the gradients and Hessians of its confident
 documents, and Newton steps are taken from those sums.  Whatever their number, the pseudo-labels of a class
 weigh as much as its labelled documents at most, so large inputs behave as small ones.  A document is rejected below the threshold, which is 0.5
-or, if lower, the score that at most ``LOST_GOOD`` of the held-back good documents fall below.
+or, if lower, the score that at most ``LOST_GOOD`` of that tenth's good documents fall below.
 
 Nulls and edge cases: a null or empty text has the features of an empty one; null metadata is a value of
 its own; a doc_id labelled several times counts once with its lowest quality; with no labels, or of one
@@ -36,7 +36,8 @@ from .kernels import LOWER, NULL_ID, PACKED, deal, flat, id_array, ids_of, mix,
 LABELLED = 12_000
 ROUNDS, CONFIDENT = 3, 0.97
 PASSES = 4  # over all documents in a round, at most
-HASHED, META_HASHED = 192, 48
+HASHED = 192
+META_HASHED = {"source": 192, "lang": 24}  # slots of their own
 LOST_GOOD = 0.005
 PENALTY = 1.0
 _U = np.uint64
@@ -77,18 +78,25 @@ def content_features(batch) -> np.ndarray:
     return np.column_stack([*shares, *more, table]).astype(np.float32)
 
 
+def _slots(column, k: int, slots: int) -> np.ndarray:
+    """A slot for each value by its whole text; null is a value of its own."""
+    buf, offsets = flat(column)
+    key = word_hashes(buf, offsets[:-1], offsets[1:]) + _U(2 * k) + np.asarray(column.is_null()).astype(_U)
+    return (mix(key) % _U(slots)).astype(np.int64)
+
+
 def meta_features(batch) -> np.ndarray:
     n = batch.num_rows
-    table = np.zeros((n, META_HASHED), np.float32)
-    for k, name in enumerate(("source", "lang")):
-        for i, value in enumerate(batch.column(name).to_pylist()):
-            key = mix(np.array([np.frombuffer(f"{k}:{value}".encode().ljust(64, b"\0")[:64], "<u8").sum(dtype=_U)]))
-            table[i, int(key[0] % _U(META_HASHED))] += 1
+    tables = []
+    for k, (name, slots) in enumerate(META_HASHED.items()):
+        table = np.zeros((n, slots), np.float32)
+        table[np.arange(n), _slots(batch.column(name), k, slots)] = 1
+        tables.append(table)
     chars = np.array([max(c or 0, 0) for c in batch.column("n_chars").to_pylist()], np.float64)
     bucket = np.minimum(np.log2(chars + 1), 20).astype(int)
     onehot = np.zeros((n, 21), np.float32)
     onehot[np.arange(n), bucket] = 1
-    return np.column_stack([table, onehot, np.log1p(chars) / 10]).astype(np.float32)
+    return np.column_stack([*tables, onehot, np.log1p(chars) / 10]).astype(np.float32)
 
 
 def _blocks(batches):
@@ -260,10 +268,11 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: in
     chosen = np.array(sorted(truth), np.int64)
     ids, text, meta = _gather(views, chosen)
     mark = np.array([truth[int(i)] for i in ids])
-    held = mix(ids.view(np.uint64)) % _U(5) == 0
-    train = ~held
-    if len(set(mark[held])) < 2 or len(set(mark[train])) < 2:
-        held = train = np.ones(len(ids), bool)  # too few to hold any back
+    part = mix(ids.view(np.uint64)) % _U(10)
+    held, last = part < 2, part == 2
+    train = part > 2
+    if any(len(set(mark[rows])) < 2 for rows in (held, train)) or not (last & (mark == 1)).any():
+        held = train = last = np.ones(len(ids), bool)  # too few to hold any back
     models = [Logistic.fit(v[train], mark[train]) for v in (text, meta)]
     given: tuple = ((0, 0), (0, 0))
     for _ in range(rounds):
@@ -272,8 +281,9 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: in
     calibrated = [Logistic.fit(z[:, None], mark[held], even=False) for z in logits]
     pair = np.column_stack([c.logit(z[:, None]) for c, z in zip(calibrated, logits, strict=True)])
     both = Logistic.fit(pair, mark[held], even=False)
-    good = _sigmoid(both.logit(pair))[mark[held] == 1]
-    return Model(*models, *calibrated, both, float(min(0.5, np.quantile(good, LOST_GOOD))), given), views
+    model = Model(*models, *calibrated, both, 0.5, given)
+    good = model.scores(text[last], meta[last])[2][mark[last] == 1]
+    return replace(model, threshold=float(min(0.5, np.quantile(good, LOST_GOOD)))), views
 
 
 def score(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:

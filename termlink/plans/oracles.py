@@ -74,7 +74,7 @@ INPUT_A = [
     ("diseases_a", "SELECT 'P:' || p_name id, p_name name, [noun || ' ' || adj, 'the ' || p_name || ' of class II', ini, NULL] exactSynonyms, ['A:' || adj] areas, ['N:' || noun] ancestors, []::VARCHAR[] descendants FROM names UNION ALL SELECT 'N:' || noun, noun, NULL, ['A:noun'], []::VARCHAR[], list(DISTINCT 'P:' || p_name) FROM names GROUP BY noun"),
     ("labels_a", """SELECT 'R:' || p_partkey id, CASE p_partkey % 6 WHEN 0 THEN 'Defective ' || p_brand || ' causes ' || p_name || ' (' || ini || ')' WHEN 1 THEN p_brand || ' variants cause ' || noun || ' ' || adj WHEN 2 THEN 'Assembly of the ' || p_name || ' line' WHEN 3 THEN noun || ' transport' WHEN 4 THEN 'Study of the ' || p_name || ' of class II line' ELSE p_type || ' process' END label FROM part JOIN names USING (p_name)"""),
     ("genes_a", "SELECT * FROM (VALUES " + ", ".join(f"({quoted(g)})" for g in GENES_A) + ") v(approvedSymbol)"),
-    ("evidence_a", "SELECT CASE WHEN l_linenumber % 2 = 1 THEN 'P:' || p_name ELSE 'N:' || split_part(p_name, ' ', 2) END diseaseId, 'R:' || l_partkey pathwayId FROM lineitem JOIN part ON p_partkey = l_partkey + CASE WHEN l_linenumber = 3 THEN 1 ELSE 0 END"),
+    ("evidence_a", "SELECT CASE WHEN l_linenumber % 2 = 1 THEN 'P:' || p_name ELSE 'N:' || split_part(p_name, ' ', 2) END diseaseId, 'R:' || l_partkey pathwayId FROM lineitem JOIN part ON p_partkey = l_partkey + CASE WHEN l_linenumber = 3 THEN 1 ELSE 0 END WHERE l_partkey % 7 <> 0"),
 ]
 INPUT_B = [
     ("sentences_b", "SELECT 'B:' || item_id id, list_filter(list_transform(string_split_regex(text, '[.\\n]'), lambda s: trim(s)), lambda s: s <> '') s FROM benchmark"),
@@ -128,6 +128,10 @@ ORACLES = {
     "is_abbreviation": b(f"SELECT label, {abbreviation('label')} is_abbreviation FROM (SELECT DISTINCT label FROM labels_b)"),
     "template_slot": a("SELECT pathwayId, pathwayLabel, slot FROM templated_a"),
     "slot_candidates": a("SELECT * FROM candidates_a"),
+    "load_dataset": a("SELECT id, label FROM labels_a"),
+    "stage_roundtrip": a("SELECT diseaseId, diseaseName, raw, source, isAbbreviation, normalised FROM forms_a"),
+    "cached_stage": a("SELECT diseaseId, normalised FROM forms_a"),
+    "csv_roundtrip": a("SELECT DISTINCT lower(approvedSymbol) symbol FROM genes_a"),
     "load_counts": a("SELECT (SELECT count(*) FROM diseases_a) n_all, (SELECT count(*) FROM kept_a) n_kept"),
     "drop_branches": a("SELECT id, name FROM kept_a"),
     "gene_symbols": a("SELECT DISTINCT lower(approvedSymbol) symbol FROM genes_a"),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import cache_key, is_abbreviation, normalise, template_slot
 from ..operators import adjudicate, evaluate, forms, index, match, reports, scoring
-from ..sources import adapters, stored
+from ..sources import adapters, cached, fresh_path, load, read_stage, stored, write_csv, write_stage
 from ..sources.adapters import PARAMS_A, PARAMS_B
 from .oracles import ORACLES
 
@@ -160,6 +160,32 @@ def _batches(c: CorpusA) -> DataFrame:
     return adjudicate.batches(adjudicate.pending(c.low, c.diseases), c.params)
 
 
+def _loaded(c: Corpus) -> DataFrame:
+    """Labels as a dataset of several parts, read back by name."""
+    root = fresh_path(c.spark, "root")
+    write_stage(c.labels.withColumn("more", F.lit(1)).repartition(3, "id"), f"{root}/reactome")
+    return load(c.spark, root, "reactome", ["id", "label"])
+
+
+def _stage_again(c: Corpus) -> DataFrame:
+    path = fresh_path(c.spark, "surface_forms")
+    write_stage(c.forms_rows, path)
+    return read_stage(c.spark, path, "surface_forms")
+
+
+def _cached_again(c: Corpus) -> DataFrame:
+    """Built and stored at the first call, only read at the second."""
+    path = fresh_path(c.spark, "chunks")
+    cached(c.spark, path, lambda: c.forms_rows.select("diseaseId", "normalised"))
+    return cached(c.spark, path, lambda: c.forms_rows.limit(0))
+
+
+def _csv_again(c: Corpus) -> DataFrame:
+    path = fresh_path(c.spark, "symbols_csv")
+    write_csv(c.genes, path, one_file=True)
+    return c.spark.read.option("header", True).csv(path)
+
+
 _a, _b = _over(CorpusA), _over(CorpusB)
 _offer = [*match._KEY, "diseaseId", "method", "matchedText", "nDiseases"]
 
@@ -167,6 +193,10 @@ _b("normalise_text", lambda c: c.labels.select("label").distinct().select("label
 _b("is_abbreviation", lambda c: c.labels.select("label").distinct().select("label", is_abbreviation(F.col("label")).alias("is_abbreviation")))
 _b("normalise_fixture", _fixture_texts)
 _b("abbreviation_fixture", _fixture_abbreviations)
+_a("load_dataset", _loaded)
+_a("stage_roundtrip", _stage_again)
+_a("cached_stage", _cached_again)
+_a("csv_roundtrip", _csv_again)
 _a("template_slot", lambda c: match.labels_of(c.labels).select(*match._KEY, template_slot(F.col("pathwayLabel")).alias("slot")))
 _a("slot_candidates", lambda c: match.slot_candidates(match.labels_of(c.labels)))
 _a("load_counts", lambda c: reports.load_counts(c.every, c.diseases))

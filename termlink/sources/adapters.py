@@ -15,9 +15,9 @@ PARAMS_B = Params(alias_allowlist={})
 GENES_A = ["GEAR", "Valve"]
 _NONE = "array<string>"
 
-TEXTS_C = ["Parkinson's disease", "Parkinson disease", "Chagas disease", "infectious disease", "Ehlers-Danlos syndrome", "α-thalassemia", "Behçet syndrome", "diabetes type II", "glycogen storage disease V", "", None, "Ω µ Ⅱ ½ ﬁ ß ø x’s", "II group x", "class ix type XI"]
-NORMALISED_C = ["parkinson disease", "parkinson disease", "chagas disease", "infectious disease", "ehlers danlos syndrome", "alpha thalassemia", "behcet syndrome", "diabetes type 2", "glycogen storage disease v", "", None, "mu ii 1 2 fi x", "ii group 10", "class 9 type xi"]
-ABBREVIATIONS_C = {"PDS": True, "ATS": True, "ALS": True, "CDG-2d": True, "asthma": False, "type 2": False, "disease": False, " HIV ": True, "A": False, "ABCDEFGHIJKLM": False}
+TEXTS_C = ["Miller's lung", "Miller lung", "Carrión fever", "river fever", "Sjögren-Larsson rash", "β-storage anemia", "Ménière attack", "Rickets type IV", "lattice dystrophy VI", "", None, "Ω µ Ⅱ ½ ﬁ ß ø x’s", "III factor ix y", "stage vi group XII"]
+NORMALISED_C = ["miller lung", "miller lung", "carrion fever", "river fever", "sjogren larsson rash", "beta storage anemia", "meniere attack", "rickets type 4", "lattice dystrophy vi", "", None, "mu ii 1 2 fi x", "iii factor 9 y", "stage 6 group xii"]
+ABBREVIATIONS_C = {"RKS": True, "MDQ": True, "B2K": True, "XTR-9b": True, "rickets": False, "group 7": False, "fever": False, " QRT ": True, "Z": False, "KLMNOPQRSTUVW": False}
 ANSWERS_C = [
     (0, 2, '```json\n[{"id": 1, "verdict": "keep", "reason": "ok"}, {"id": "2", "verdict": "reject", "reason": "gene"}]\n```'),
     (1, 3, '[{"id": 3, "verdict": "keep"}, {"id": 1, "verdict": "reject", "reason": "a"}, {"id": 1, "verdict": "keep", "reason": "b"}]'),
@@ -68,9 +68,9 @@ def gene_a(spark: SparkSession) -> DataFrame:
 
 
 def evidence_a(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per line item; every first line also names a pathway without an id."""
+    """One row per line item; every first line also names a pathway without an id.  A seventh of the parts is not curated."""
     part = _read(spark, sf_dir, "part").select("p_partkey", "p_name")
-    lines = _read(spark, sf_dir, "lineitem").select("l_partkey", "l_linenumber")
+    lines = _read(spark, sf_dir, "lineitem").select("l_partkey", "l_linenumber").where("l_partkey % 7 <> 0")
     number = F.col("l_linenumber")
     joined = lines.withColumn("p_partkey", F.col("l_partkey") + F.when(number == 3, 1).otherwise(0)).join(part, "p_partkey")
     own = F.struct(F.concat(F.lit("R:"), F.col("l_partkey").cast("string")).alias("id"), F.lit("part").alias("name"))

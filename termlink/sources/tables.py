@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 DATASETS = {
     "disease": "id string, name string, exactSynonyms array<string>, therapeuticAreas array<string>, ancestors array<string>, descendants array<string>",
@@ -30,12 +31,25 @@ def _path(root: str, name: str) -> str:
     return f"{root}/{name}"
 
 
+def _fits(have: DataType, wanted: DataType) -> bool:
+    """Equal types; a struct may have more fields than are wanted."""
+    if isinstance(have, ArrayType) and isinstance(wanted, ArrayType):
+        return _fits(have.elementType, wanted.elementType)
+    if isinstance(have, StructType) and isinstance(wanted, StructType):
+        return all(f.name in have.names and _fits(have[f.name].dataType, f.dataType) for f in wanted)
+    return have == wanted
+
+
 def load(spark: SparkSession, root: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """A dataset with the columns asked for (all by default); missing ones are a ValueError at once."""
+    """A dataset with the columns asked for (all by default); missing ones, and declared ones of another type,
+    are a ValueError at once."""
     frame = spark.read.parquet(_path(root, name))
-    wanted = list(columns or [c.split(" ")[0] for c in DATASETS[name].split(", ")])
+    declared = StructType.fromDDL(DATASETS[name])
+    wanted = list(columns or declared.names)
     if missing := [c for c in wanted if c not in frame.columns]:
         raise ValueError(f"{name} has no column {', '.join(missing)}")
+    if other := [c for c in wanted if c in declared.names and not _fits(frame.schema[c].dataType, declared[c].dataType)]:
+        raise ValueError(f"{name} has columns of another type: " + ", ".join(f"{c} {frame.schema[c].dataType.simpleString()}" for c in other))
     return frame.select(*wanted)
 
 
@@ -59,7 +73,9 @@ def write_stage(frame: DataFrame, path: str) -> None:
     frame.write.mode("overwrite").parquet(path)
 
 
-def write_csv(frame: DataFrame, path: str) -> None:
+def write_csv(frame: DataFrame, path: str, one_file: bool = False) -> None:
+    """CSV with a header, a file for each partition; as one file in the order of its columns for small reports."""
+    frame = frame.orderBy(*frame.columns).coalesce(1) if one_file else frame
     frame.write.mode("overwrite").option("header", True).csv(path)
 
 

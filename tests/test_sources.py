@@ -33,6 +33,24 @@ def test_load(spark, root):
         sources.list_parts(spark, root, "go")
 
 
+def test_declared_types_hold(spark, tmp_path):
+    root = str(tmp_path)
+    spark.createDataFrame([(1, "x")], "id long, label string").write.parquet(f"{root}/reactome")
+    with pytest.raises(ValueError, match="id bigint"):
+        sources.load(spark, root, "reactome")
+    assert sources.load(spark, root, "reactome", ["label"]).count() == 1
+    wide = "diseaseId string, pathways array<struct<id:string,more:int,name:string>>"
+    spark.createDataFrame([("D", [("p", 1, "n")])], wide).write.parquet(f"{root}/evidence_reactome")
+    assert sources.load(spark, root, "evidence_reactome").count() == 1
+
+
+def test_one_csv_file(spark, tmp_path):
+    path = tmp_path / "csv"
+    sources.write_csv(spark.createDataFrame([(i, f"n{i}") for i in (3, 1, 2)], "i int, name string").repartition(3), str(path), one_file=True)
+    files = list(path.glob("*.csv"))
+    assert len(files) == 1 and files[0].read_text().splitlines() == ["i,name", "1,n1", "2,n2", "3,n3"]
+
+
 def test_cached(spark, tmp_path):
     calls = []
 

@@ -27,6 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -38,7 +39,7 @@ UNITS = Units(lambda buf, offsets: (SYMBOL[buf], offsets), LENGTH, GRAM, 1 << 19
 PAIRS = "rank long, node int, next binary, left binary, right binary, doc long, at long"
 ORDER = ["rank", "node", "next", "left", "right", "doc", "at"]
 GROUP = 3  # columns of ORDER that make a pair
-BLOCK = 1 << 16  # places in a stored block
+BLOCK = 1 << 16  # places for each range partition of a later round
 HELD = "part int, pid int, blob binary, places long, first struct<rank:long,node:int,next:binary>, last struct<rank:long,node:int,next:binary>"
 
 
@@ -51,40 +52,62 @@ def _nodes() -> list[list[tuple[int, int]]]:
 
 
 NODES = _nodes()
-A0, A1 = ({i: node[k] for level, nodes in enumerate(NODES) for i, node in enumerate(nodes, 1 << level)} for k in (0, 1))
+A0, A1 = (np.array([0, *(node[k] for nodes in NODES for node in nodes)]) for k in (0, 1))  # by number of the node
 
 
-def _halves(a0: int, a1: int, left: bytes, right: bytes):
-    """(which half, its next bytes, what is left of the bytes before and behind) where the place has such strings.
+def _tail(x: pa.Array, n: int) -> pa.Array:
+    return pc.binary_slice(x, -n) if n else pc.binary_slice(x, 0, 0)
+
+
+def _halves(rank: np.ndarray, node: np.ndarray, left: pa.Array, right: pa.Array, doc: np.ndarray, at: np.ndarray):
+    """Places with the next bytes of either half of their nodes, where they have strings that begin there.
 
     ``left`` ends where the node's string begins and ``right`` begins where it ends; they reach as far as the
     place's own strings do, so their lengths say which beginnings it has.
     """
-    near, far, middle = a1 - len(right), a0 + len(left), (a0 + a1) // 2
-    if near <= middle and a0 < a1:
-        reach = min(middle, far) - a0
-        yield 0, right[: a1 - middle], left[len(left) - reach :], right[a1 - middle :]
-    if far > middle and a0 < a1:
-        grown = middle + 1 - a0
-        yield 1, left[len(left) - grown :], left[: len(left) - grown], right[: a1 - max(middle + 1, near)]
+    for number in np.unique(node).tolist():
+        a0, a1 = int(A0[number]), int(A1[number])
+        if a0 == a1:
+            continue
+        rows, middle = np.flatnonzero(node == number), (a0 + a1) // 2
+        before, behind = left.take(pa.array(rows)), right.take(pa.array(rows))
+        near, far = a1 - _lengths(behind), a0 + _lengths(before)
+        for half, use in ((0, np.flatnonzero(near <= middle)), (1, np.flatnonzero(far > middle))):
+            x, y, i = before.take(pa.array(use)), behind.take(pa.array(use)), rows[use]
+            if half:
+                grown = middle + 1 - a0
+                strings = _tail(x, grown), pc.binary_slice(x, 0, -grown), pc.binary_slice(y, 0, a1 - middle - 1)
+            else:
+                strings = pc.binary_slice(y, 0, a1 - middle), _tail(x, middle - a0), pc.binary_slice(y, a1 - middle, LENGTH)
+            yield pa.record_batch([pa.array(rank[i]), pa.array(np.full(len(i), 2 * number + half, np.int32)), *strings, pa.array(doc[i]), pa.array(at[i])], ORDER)
+
+
+def _lengths(x: pa.Array) -> np.ndarray:
+    return np.asarray(pc.binary_length(x)).astype(np.int64)
 
 
-def _pairs(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(ORDER)
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ORDER)
+def _agree(batch: pa.RecordBatch, columns: int) -> np.ndarray:
+    """For each row but the first, whether it has the same first columns as the row before."""
+    n = batch.num_rows
+    same = np.ones(max(n - 1, 0), bool)
+    for c in ORDER[:columns] if n > 1 else ():
+        x = batch.column(c)
+        same &= np.asarray(pc.equal(x.slice(1), x.slice(0, n - 1)))
+    return same
+
+
+def _row(batch: pa.RecordBatch, i: int) -> tuple:
+    return tuple(batch.column(c)[i].as_py() for c in ORDER)
 
 
 def _first_pairs(docs: DataFrame, known: Filters) -> DataFrame:
     """The places of branching anchors with both halves of their strings, in blocks (pid -1), and findings for the
     places whose whole surroundings an earlier one in the same block of texts has."""
     sent = docs.sparkSession.sparkContext.broadcast(known)
-    top = LENGTH - GRAM
 
     def run(batches):
         known = sent.value
         _, branching = known.tables()
-        rows: list[tuple] = []
         for batch, ids, b in UNITS.blocks(batches):
             live = np.flatnonzero(known.holds(branching, b.anchor))
             if not len(live):
@@ -96,16 +119,12 @@ def _first_pairs(docs: DataFrame, known: Filters) -> DataFrame:
             if late:
                 yield packed([p for p, _ in late], [x for _, x in late])
             raw, begin = flat(batch.column("text"))[0].tobytes(), b.first[b.doc[live]]
-            ranks = b.anchor[live].view(np.int64)
-            for d, p, s, c, o, r in zip(*(x[own].tolist() for x in (doc, b.at[live], low, count, begin, ranks)), strict=True):
-                left, right = raw[o + s : o + p], raw[o + p + GRAM : o + s + c - 1 + LENGTH]
-                for half, grown, before, behind in _halves(0, top, left, right):
-                    rows.append((r, 2 + half, grown, before, behind, d, p))
-            if len(rows) >= BLOCK:
-                yield packed([-1], [_ipc(_pairs(rows))])
-                rows.clear()
-        if rows:
-            yield packed([-1], [_ipc(_pairs(rows))])
+            begin, at = begin[own], b.at[live][own]
+            ends = (begin + low[own], begin + at, begin + at + GRAM, begin + (low + count)[own] - 1 + LENGTH)
+            left, right = (pa.array([raw[x:y] for x, y in zip(f.tolist(), t.tolist(), strict=True)], pa.binary()) for f, t in (ends[:2], ends[2:]))
+            halves = _halves(b.anchor[live][own].view(np.int64), np.ones(len(at), np.int32), left, right, doc[own], at)
+            blobs = [_ipc(half) for half in halves]
+            yield packed([-1] * len(blobs), blobs)
 
     return docs.select(KEY, "text").mapInArrow(task(run), PACKED)
 
@@ -122,38 +141,22 @@ def _settle(n: int):
     schema = pa.schema([("part", pa.int32()), ("pid", pa.int32()), ("blob", pa.binary()), ("places", pa.int64()), ("first", pair), ("last", pair)])
 
     def run(batches):
-        part = TaskContext.get().partitionId()
-        last, source = None, None
-        kept: list[tuple] = []
-        late: list[tuple] = []
-
-        def stored():
-            if late:
-                for pid, blob in findings(*(np.array(c, np.int64) for c in zip(*late, strict=True)), n):
-                    yield part, pid, blob, 0, None, None
-                late.clear()
-            if kept:
-                ends = [dict(zip(ORDER[:GROUP], r, strict=False)) for r in (kept[0], kept[-1])]
-                yield part, -1, _ipc(_pairs(kept)), len(kept), *ends
-                kept.clear()
-
-        def ready():
-            rows = list(stored())
-            columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
-            return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
+        part, last, source = TaskContext.get().partitionId(), None, (0, 0)
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ORDER), strict=True):
-                same, doc, at = row[:5], row[5], row[6]
-                if same == last:  # as many beginnings as the bytes that are left say
-                    far, near = A0[row[1]] + len(row[3]), A1[row[1]] - len(row[4])
-                    late.append((doc, at - far, at - near + LENGTH, source[0], source[1] - far))
-                else:
-                    last, source = same, (doc, at)
-                    kept.append(row)
-            if len(kept) + len(late) >= BLOCK:
-                yield ready()
-        yield ready()
+            if not batch.num_rows:
+                continue
+            doc, at, node = (np.asarray(batch.column(c)) for c in ("doc", "at", "node"))
+            first = np.concatenate([[_row(batch, 0)[:5] != last], ~_agree(batch, 5)])
+            of = np.maximum.accumulate(np.where(first, np.arange(len(first)), -1))
+            from_doc, from_at = np.where(of < 0, source[0], doc[of]), np.where(of < 0, source[1], at[of])
+            far, near = A0[node] + _lengths(batch.column("left")), A1[node] - _lengths(batch.column("right"))  # the beginnings that it has
+            late = ~first
+            rows = [(part, pid, blob, 0, None, None) for pid, blob in findings(doc[late], (at - far)[late], (at - near)[late] + LENGTH, from_doc[late], (from_at - far)[late], n)] if late.any() else []
+            kept = batch.filter(pa.array(first))
+            if kept.num_rows:
+                rows.append((part, -1, _ipc(kept), kept.num_rows, *(dict(zip(ORDER[:GROUP], _row(kept, i), strict=False)) for i in (0, kept.num_rows - 1))))
+            last, source = _row(batch, batch.num_rows - 1)[:5], (int(from_doc[-1]), int(from_at[-1]))
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
@@ -177,35 +180,37 @@ def _ranks(held: DataFrame) -> tuple[dict, int]:
 def _next_pairs(held: DataFrame, ranks: dict) -> DataFrame:
     """Halves of the places that share their pair with others; the rank is the first such place's in the order."""
 
-    def run(batches):
-        pair, waiting, rank, place, inherited, goes_on, rows = None, None, 0, None, None, None, []
-
-        def grow(row):
-            for half, grown, left, right in _halves(A0[row[1]], A1[row[1]], row[3], row[4]):
-                rows.append((rank, 2 * row[1] + half, grown, left, right, row[5], row[6]))
+    def halves(batch, rank):
+        doc, at, node = (np.asarray(batch.column(c)) for c in ("doc", "at", "node"))
+        return _halves(rank, node, batch.column("left"), batch.column("right"), doc, at)
 
+    def run(batches):
+        place, pair, rank, alone = None, None, 0, None  # the last pair so far, and its row if it has but one
         for batch in batches:
             for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                if place is None:
+                begins = place is None
+                if begins:
                     place, inherited, goes_on = ranks[part]
-                for stored in pa.ipc.open_stream(blob):
-                    for row in zip(*(stored.column(c).to_pylist() for c in ORDER), strict=True):
-                        if row[:GROUP] != pair:
-                            pair, waiting, rank = row[:GROUP], row, place
-                            if inherited is not None or pair == goes_on:  # others stand in another partition
-                                rank, waiting = -1 - part if inherited is None else inherited, None
-                                grow(row)
-                            inherited = None
-                        else:
-                            if waiting is not None:
-                                grow(waiting)
-                                waiting = None
-                            grow(row)
-                        place += 1
-                if len(rows) >= BLOCK:
-                    yield _pairs(rows)
-                    rows.clear()
-        yield _pairs(rows)
+                for rows in pa.ipc.open_stream(blob):
+                    n = rows.num_rows
+                    new = np.concatenate([[_row(rows, 0)[:GROUP] != pair], ~_agree(rows, GROUP)])
+                    at = np.flatnonzero(new)
+                    group = np.cumsum(new) - 1  # -1 where the last block's pair goes on
+                    size = np.bincount(group + 1, minlength=len(at) + 1)
+                    name = np.concatenate([[rank], place + at])
+                    shared_ = np.concatenate([[True], size[1:] > 1])
+                    if not new[0] and alone is not None:
+                        yield from halves(alone, np.array([rank]))
+                    if begins and inherited is not None:  # others stand in the partition before
+                        name[1], shared_[1] = inherited, True
+                    pair = _row(rows, n - 1)[:GROUP]
+                    if pair == goes_on and len(at) and not (begins and inherited is not None and len(at) == 1):  # or in the next
+                        name[-1], shared_[-1] = -1 - part, True
+                    rank, begins = int(name[-1]), False
+                    alone = None if shared_[-1] or not len(at) else rows.slice(n - 1)
+                    use = shared_[group + 1]
+                    yield from halves(rows.filter(pa.array(use)), name[group + 1][use])
+                    place += n
 
     return held.where("pid = -1").select("part", "blob").mapInArrow(task(run), PAIRS)
 

@@ -94,18 +94,18 @@ def _signed(batch, ranges):
 def _verified(docs: DataFrame) -> tuple[DataFrame, int]:
     """Paths whose words stand at their source's coordinates too (``docs`` has KEY)."""
     n = partitions(docs.sparkSession)
-    found = covered(docs, UNITS, filters(docs, UNITS, n))
+    found = shared(covered(docs, UNITS, filters(docs, UNITS, n)))  # read for both ends of the runs
     paths = shared(compacted(found.mapInArrow(_runs, RUNS)))
     sources = paths.select(F.col("source").alias("doc"), F.col("source_start").alias("start"), "n_words").distinct()  # many copies ask for one place
     asked = paths.unionByName(sources.select("doc", "start", "n_words", F.col("doc").alias("source"), F.lit(-1).cast("long").alias("source_start")))
-    signed = shared(with_texts(docs.select(KEY, "doc_id", "text"), asked.mapInArrow(task(_packed_claims(n)), PACKED), n, _signed, SIGNED).distinct())
-    place = signed.where("source_start < 0").select(F.col("doc").alias("source"), F.col("start").alias("source_start"), "n_words", "digest", F.col("doc_id").alias("source_doc"))
+    signed = shared(with_texts(docs.select(KEY, "doc_id", "text"), asked.mapInArrow(task(_packed_claims(n)), PACKED), n, _signed, SIGNED))
+    place = signed.where("source_start < 0").select(F.col("doc").alias("source"), F.col("start").alias("source_start"), "n_words", "digest", F.col("doc_id").alias("source_doc")).distinct()  # rows may repeat
     return signed.where("source_start >= 0").join(place, ["source", "source_start", "n_words", "digest"]).drop("digest"), n
 
 
 def paths(docs: DataFrame) -> DataFrame:
     """Verified paths: doc_id, start and words of each, and where its words stand first."""
-    return _verified(keyed(docs.select("doc_id", "text")))[0].select("doc_id", "start", "n_words", "source_doc", "source_start")
+    return _verified(keyed(docs.select("doc_id", "text")))[0].select("doc_id", "start", "n_words", "source_doc", "source_start").distinct()
 
 
 def _found(docs: DataFrame) -> tuple[DataFrame, int]:

@@ -111,8 +111,8 @@ def find(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", spans_of(F.col("text")).alias("spans"))
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """The same rows with every span replaced by its kind in brackets; a null text stays null.
+def redact(docs: DataFrame, least: float = 0.0) -> DataFrame:
+    """The same rows with every span that scores ``least`` or more replaced by its kind in brackets; a null text stays null.
 
     Of overlapping spans the first gives the name, and their union is replaced.
     """
@@ -126,7 +126,7 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
 
     whole = F.aggregate(
-        F.transform(spans_of(text), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))),
+        F.transform(F.filter(spans_of(text), lambda s: s["score"] >= least) if least else spans_of(text), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
         step,
         lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))),
@@ -135,15 +135,17 @@ def redact(docs: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Counts of the base kinds, a hash over their places, and all places as text."""
+    """Counts of the base kinds, a hash over their places, all places as text, and their scores in percent."""
     found = find(docs)
     name = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     base = F.filter("spans", lambda s: s["rank"] < len(BASE))
+    percent = lambda s: F.round(s["score"] * 100).cast("int").cast("string")
     return found.select(
         "doc_id",
         *(F.size(F.filter(F.transform("spans", lambda s: s["kind"]), lambda x: x == F.lit(k))).cast("long").alias(f"n_{k}") for k in BASE),  # noqa: B023
         F.sha2(F.array_join(F.transform(base, name), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("spans", name), ",").alias("spans"),
+        F.array_join(F.transform("spans", percent), ",").alias("scores"),
     )
 
 
@@ -170,7 +172,7 @@ def oracle() -> str:
     parts = [
         f"""{k}_m AS (SELECT doc_id, t, regexp_extract_all(t, '{plain[k]}') ms, string_split_regex(t, '{plain[k]}') ps FROM d),
 {k}_p AS (SELECT doc_id, t, m, (sum(length(p)) OVER w + sum(length(m)) OVER w - length(m))::BIGINT start FROM (SELECT doc_id, t, unnest(ms) m, unnest(ps[:len(ms)]) p, unnest(range(len(ms))) i FROM {k}_m) WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-{k}_s AS (SELECT doc_id, {i} rank, '{k}' kind, start, start + length(m) stop FROM {k}_p WHERE {ok[k]})"""
+{k}_s AS (SELECT doc_id, {i} rank, '{k}' kind, start, start + length(m) stop, {SCORES[k] * 100:.0f} + CASE WHEN regexp_matches(lower(substring(t, greatest(1, start + 1 - {CONTEXT_CHARS}), least(start, {CONTEXT_CHARS}))), '{CONTEXT[k]}') THEN {CONTEXT_GAIN * 100:.0f} ELSE 0 END score FROM {k}_p WHERE {ok[k]})"""
         for i, k in enumerate(KINDS)
     ]
     union = " UNION ALL ".join(f"SELECT * FROM {k}_s" for k in KINDS)
@@ -179,5 +181,5 @@ def oracle() -> str:
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') t FROM documents),
 {", ".join(parts)},
 s AS ({union}),
-g AS (SELECT doc_id, {counts}, {place} FILTER (rank < {len(BASE)}) base, {place} spans FROM s GROUP BY doc_id)
-SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT n_{k}" for k in BASE)}, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans FROM d LEFT JOIN g USING (doc_id)"""
+g AS (SELECT doc_id, {counts}, {place} FILTER (rank < {len(BASE)}) base, {place} spans, string_agg(score::INT, ',' ORDER BY start, rank) scores FROM s GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT n_{k}" for k in BASE)}, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans, coalesce(scores, '') scores FROM d LEFT JOIN g USING (doc_id)"""

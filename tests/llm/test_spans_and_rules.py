@@ -59,6 +59,13 @@ def test_redaction(spark):
     assert found[0].blob == "x" and pii.redact(frame(spark, [])).count() == 0 and pii.digest(frame(spark, [])).count() == 0
 
 
+def test_context_moves_scores(spark):
+    docs = frame(spark, ["my mail is a@b.com", "zz a@b.com", "ssn 123-45-6789", "123-45-6789", "on server 1.2.3.4 and 1.2.3.5"])
+    assert {r.doc_id: r.scores for r in pii.digest(docs).collect()} == {0: "100", 1: "70", 2: "60", 3: "", 4: "90,90"}
+    assert {r.doc_id: r.text for r in pii.redact(docs, 0.8).collect()}[1] == "zz a@b.com"
+    assert {r.doc_id: r.text for r in pii.redact(docs, 0.8).collect()}[0] == "my mail is [email]"
+
+
 def rules(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]

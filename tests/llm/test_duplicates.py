@@ -145,3 +145,20 @@ def test_copies_of_a_row_without_an_id_go(spark):
     text = " ".join(f"word{i}" for i in range(30))
     docs = frame(spark, [text, text, text, "something else entirely here now"], ids=[None, 3, 4, 5])
     assert sorted((r.doc_id for r in jaccard.keep_one(docs).collect()), key=str) == [5, None]
+
+
+@pytest.mark.parametrize("d", [4, 8, 64, 768])
+@pytest.mark.parametrize("fullest", [500, 10_000, 1_000_000])
+def test_codes_meet(d, fullest):
+    """Pairs barely above the threshold meet in some table, whatever the length and however full the label."""
+    rng = np.random.default_rng(d)
+    x, noise = rng.normal(size=(2, 1500, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    noise -= (noise * x).sum(1, keepdims=True) * x
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9805, 0.986, (1500, 1))
+    model = vectors.learn_rotation(x)
+    apart = vectors.codes(x, *model) ^ vectors.codes(cosine * x + np.sqrt(1 - cosine**2) * noise, *model)
+    bits = model[1].shape[1]
+    met = np.any([(apart & np.uint64(m)) == 0 for m in vectors.layout(bits, fullest)], axis=0) & (np.bitwise_count(apart) <= vectors.reach(bits))
+    assert met.mean() >= 0.95

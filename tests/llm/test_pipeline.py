@@ -6,9 +6,10 @@ from fixtures import corpus, frame
 from pyspark.sql import functions as F
 from test_duplicates import classes
 from test_repeats import covered
+from test_tokens import check_pieces
 
 import corpus_pipeline
-from termlink.llm import cotraining, debruijn
+from termlink.llm import cotraining, debruijn, pii
 
 NAMES = [name for name, _ in corpus_pipeline.STAGES]
 
@@ -105,3 +106,49 @@ def test_entry_has_them_all(spark):
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and {f"op{i}_" for i in range(1, 11)} <= {re.match(r"op\d+_|", n)[0] for n in names}
     assert set(__spark_entry__.oracle_sql()) <= names
+
+
+def test_quality_stage_against_its_model(spark, tmp_path):
+    """The stage keeps what the fitted model, applied to all rows in one batch, does not reject."""
+    docs, labels, _ = labelled(spark, 300)
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    kept = sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["quality"](spark, docs, str(tmp_path)).collect())
+    model, _ = cotraining.fit(docs, labels)
+    (batch,) = docs.toArrow().combine_chunks().to_batches()
+    views = cotraining.content_features(batch), cotraining.meta_features(batch)
+    # each view's calibrated logit, and the logistic model over both, written out
+    logits = []
+    for one, calibrated, x in zip((model.text, model.meta), (model.cal_text, model.cal_meta), views, strict=True):
+        z = [sum(w * (float(v) - m) / s for w, v, m, s in zip(one.weight, row, one.mean, one.scale, strict=True)) + one.bias for row in x]
+        logits.append([calibrated.weight[0] * (v - calibrated.mean[0]) / calibrated.scale[0] + calibrated.bias for v in z])
+    both = model.both
+    score = [1 / (1 + np.exp(-(sum(both.weight[k] * (pair[k] - both.mean[k]) / both.scale[k] for k in (0, 1)) + both.bias))) for pair in zip(*logits, strict=True)]
+    assert kept == sorted(i for i, p in zip(np.asarray(batch.column("doc_id")).tolist(), score, strict=True) if p >= model.threshold)
+
+
+def test_classifier_on_held_out_labels(spark):
+    """Labels of the test tables: fitted on half of them, right about the other half."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
+    hidden = {r.doc_id: r.quality for r in labels.where("doc_id % 2 = 1 AND quality IS NOT NULL").collect()}
+    found = {r.doc_id: r.kept for r in cotraining.score(docs, labels.where("doc_id % 2 = 0")).collect()}
+    good = [found[i] for i, q in hidden.items() if q]
+    bad = [found[i] for i, q in hidden.items() if not q]
+    assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.2 * len(bad)
+
+
+def test_personal_data_stage_against_brute_force(spark, sf_dir):
+    texts = ["a@b.com and a@b.com", None, "", "call +49 30 1234567 or 1.2.3.4", "card 4111 1111 1111 1111.", *corpus(9, 12)]
+    docs = frame(spark, texts)
+    places = {r.doc_id: [x.split(":") for x in r.spans.split(",") if x] for r in pii.digest(docs).collect()}
+    for r in dict(corpus_pipeline.STAGES)["personal_data"](spark, docs, sf_dir).collect():
+        out, at, text = "", 0, texts[r.doc_id]
+        for kind, a, b in ((k, int(a), int(b)) for k, a, b in places[r.doc_id]):
+            if a >= at:
+                out += text[at:a] + f"[{kind}]"
+            at = max(at, b)
+        assert r.text == (None if text is None else out + text[at:]) and r.n_chars == (None if text is None else len(r.text))
+
+
+def test_windows_stage_against_the_library(spark, sf_dir):
+    texts = [*corpus(10, 12), "x " * 3000]
+    check_pieces(dict(corpus_pipeline.STAGES)["windows"](spark, frame(spark, texts), sf_dir).collect(), texts)

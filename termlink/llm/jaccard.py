@@ -13,7 +13,8 @@ own and the next, so every pair with sizes within 3:4 meets in one.  Which token
 steers the work, never the result.
 
 Pairs met under rare tokens must also share enough of their prefixes to reach the overlap at all.  What
-remains connects sets into loose groups, and inside a group sets are compared in full, block by block.
+remains connects sets into loose groups.  A small group is compared in full.  In a larger one all sets are
+compared with a few pivots first, and then only sets that do not hang together through these with everyone.
 
 Nulls and edge cases: a null, empty or blank text has no shingles and links with nothing; with one to four
 words the whole sequence is the only shingle; a null doc_id orders before all others; repeated rows are
@@ -36,6 +37,8 @@ FREQUENT_LEVEL = 6  # frequent from 2**6 documents on; more if the table of freq
 FREQUENT_MOST = 2_000_000
 BUCKET = 64  # larger buckets connect their members by a star instead of by pairs
 GROUP_BLOCK = 384  # sets compared together in memory
+PIVOTS = 16  # of a larger group
+WHOLE, PIVOTED = -1, -2  # kinds of tasks beside pairs of blocks
 FILTER_BITS = 1 << 26
 _U = np.uint64
 
@@ -305,30 +308,30 @@ def similar(tokens: list[np.ndarray], left: np.ndarray | None = None) -> tuple[n
     return np.nonzero(link)
 
 
-def _dealt(pids: list[int], tasks: list[bytes], blobs: list[bytes]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(pids, pa.int32()), pa.array(tasks, pa.binary()), pa.array(blobs, pa.binary())], ["pid", "task", "blob"])
-
-
-def _compared(pair: bytes | None, members: list[bytes]):
-    """The forest of a block pair: its sets are (block, name, tokens)."""
-    if len(members) > 1:
-        _, low, high = np.frombuffer(pair, "<i8")
-        side, names = (np.array([np.frombuffer(m, "<i8", 1, at)[0] for m in members]) for at in (0, 8))
-        a, b = similar([np.frombuffer(m, "<u8", -1, 16) for m in members], None if low == high else side)
-        if len(a):
-            yield _forest(names.view(np.uint64)[a], names.view(np.uint64)[b])
-
-
-def _links(docs: DataFrame, loose: DataFrame, sets: DataFrame, n: int) -> DataFrame:
-    """Edges of true similarity inside the loose groups, a spanning forest of them for each block pair.
-
-    Their ends are the sets' smallest documents, so that components of them need no second naming.
-    """
+def _compared(pair: bytes, members: list[bytes]) -> pa.RecordBatch | None:
+    """The links of one task, whose members are (side, name, set, tokens): all of them (whole group), or those between
+    its two sides; with pivots, also which of them each set is linked to."""
+    _, _, kind = np.frombuffer(pair, "<i8")
+    side, names, sets = (np.array([np.frombuffer(m, "<i8", 1, at)[0] for m in members]) for at in (0, 8, 16))
+    a, b = similar([np.frombuffer(m, "<u8", -1, 24) for m in members], None if kind == WHOLE else side >= 0) if len(members) > 1 else ([], [])
+    if not len(a):
+        return None
+    forest = _forest(names.view(np.uint64)[a], names.view(np.uint64)[b])
+    node, mask = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if kind == PIVOTED:
+        pivot, set_ = np.where(side[a] >= 0, a, b), np.where(side[a] >= 0, b, a)
+        of = np.zeros(len(members), np.int64)
+        np.bitwise_or.at(of, set_, np.int64(1) << side[pivot])
+        node, mask = sets[of > 0], of[of > 0]
+    more, less = pa.nulls(len(node), pa.int64()), pa.nulls(forest.num_rows, pa.int64())
+    columns = [(forest.column("a"), more), (forest.column("b"), more), (less, pa.array(node)), (less, pa.array(mask))]
+    return pa.record_batch([pa.concat_arrays(c) for c in columns], ["a", "b", "node", "mask"])
+
+
+def _met(docs: DataFrame, places: DataFrame, n: int) -> DataFrame:
+    """Links in all tasks of ``places``: a row (node, low, component, i, j, side) puts a set into task (component, i, j)."""
     spark = docs.sparkSession
-    sized = loose.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    blocks = F.ceil(F.col("members") / GROUP_BLOCK).cast("int")
-    nodes = shared(loose.join(sized, "component").join(sets, F.col("node") == F.col("sig")).select("node", "component", blocks.alias("blocks"), "low"))
-    bits = nodes.select(F.pmod(F.shiftrightunsigned("node", 8), F.lit(FILTER_BITS)).alias("bit")).select((F.col("bit") / 8).cast("int").alias("at"), F.pmod("bit", F.lit(8)).cast("int").alias("by")).groupBy("at").agg(F.bit_or(F.expr("shiftleft(1, by)")).alias("mask"))
+    bits = places.select(F.pmod(F.shiftrightunsigned("node", 8), F.lit(FILTER_BITS)).alias("bit")).select((F.col("bit") / 8).cast("int").alias("at"), F.pmod("bit", F.lit(8)).cast("int").alias("by")).groupBy("at").agg(F.bit_or(F.expr("shiftleft(1, by)")).alias("mask"))
 
     def region(batches):
         for batch in batches:
@@ -339,6 +342,8 @@ def _links(docs: DataFrame, loose: DataFrame, sets: DataFrame, n: int) -> DataFr
     for row in bits.mapInArrow(task(region), "at binary, mask binary").collect():  # at most FILTER_BITS / 8 places together
         filter_[np.frombuffer(row["at"], "<i4")] = np.frombuffer(row["mask"], np.uint8)
     wanted = spark.sparkContext.broadcast(filter_)
+    fields = ["node", "low", "component", "i", "j", "side"]
+    schema = "pid int, blob binary, " + ", ".join(f"{f} long" for f in fields)
 
     def ship(batches):
         flags = wanted.value
@@ -350,53 +355,96 @@ def _links(docs: DataFrame, loose: DataFrame, sets: DataFrame, n: int) -> DataFr
             blobs = [s.sig[d].tobytes() + s.token[s.first[d] : s.first[d + 1]].tobytes() for d in which.tolist()]
             for at in range(0, len(blobs), 2000):
                 part = slice(at, at + 2000)
-                yield pa.record_batch([pa.array(pid[part], pa.int32()), pa.array(blobs[part], pa.binary()), *(pa.nulls(len(blobs[part]), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64()))], ["pid", "blob", "node", "component", "blocks", "low"])
+                yield pa.record_batch([pa.array(pid[part], pa.int32()), pa.array(blobs[part], pa.binary()), *(pa.nulls(len(blobs[part]), pa.int64()) for _ in fields)], ["pid", "blob", *fields])
 
     def place(batches):
         for batch in batches:
             pid = (mix(np.asarray(batch.column("node")).view(np.uint64)) % _U(n)).astype(np.int32)
-            yield pa.record_batch([pa.array(pid), pa.nulls(batch.num_rows, pa.binary()), *batch.columns], ["pid", "blob", "node", "component", "blocks", "low"])
-
-    schema = "pid int, blob binary, node long, component long, blocks int, low long"
+            yield pa.record_batch([pa.array(pid), pa.nulls(batch.num_rows, pa.binary()), *(batch.column(f) for f in fields)], ["pid", "blob", *fields])
 
     def assign(batches):
-        """Each set once, to every block pair of its group that it takes part in."""
+        """Each set to the tasks that it takes part in."""
         held: dict[int, bytes] = {}
-        groups: dict[int, tuple[int, int, int]] = {}
+        asked: list[np.ndarray] = []
         for batch in batches:
-            for blob, node, component, count, low in zip(*(batch.column(c).to_pylist() for c in ("blob", "node", "component", "blocks", "low")), strict=True):
-                if blob is None:
-                    groups[node] = component, count, low
-                else:
-                    held[int(np.frombuffer(blob, "<i8", 1)[0])] = blob
-        pids, tasks, blobs = [], [], []
-        for node, (component, count, name) in groups.items():
-            mine = int(mix(np.array([node], np.int64).view(np.uint64) + _U(7))[0] % _U(count))
-            for other in range(count):
-                pair = np.array([component, min(mine, other), max(mine, other)], "<i8")
-                key = pair.view(np.uint64)
-                pids.append(int(mix(key[:1] + mix(key[1:2] + mix(key[2:])))[0] % _U(n)))
-                tasks.append(pair.tobytes())
-                blobs.append(np.array([mine, name], "<i8").tobytes() + held[node][8:])
-                if len(blobs) >= 1000:
-                    yield _dealt(pids, tasks, blobs)
-                    pids, tasks, blobs = [], [], []
-        yield _dealt(pids, tasks, blobs)
+            sent = batch.column("blob")
+            for blob in sent.drop_null().to_pylist():
+                held[int(np.frombuffer(blob, "<i8", 1)[0])] = blob
+            asked.append(np.column_stack([np.asarray(batch.filter(sent.is_null()).column(f)) for f in fields]))
+        rows = np.concatenate(asked) if asked else np.zeros((0, len(fields)), np.int64)
+        key = np.ascontiguousarray(rows[:, 2:5]).view(np.uint64)
+        pids = (mix(key[:, 0] + mix(key[:, 1] + mix(key[:, 2]))) % _U(n)).tolist()
+        for at in range(0, len(rows), 1000):
+            part = rows[at : at + 1000]
+            blobs = [np.array([side, low], "<i8").tobytes() + held[node] for node, low, side in part[:, [0, 1, 5]].tolist()]
+            yield pa.record_batch([pa.array(pids[at : at + 1000], pa.int32()), pa.array([k.tobytes() for k in part[:, 2:5].astype("<i8")], pa.binary()), pa.array(blobs, pa.binary())], ["pid", "task", "blob"])
 
     def compare(batches):
-        """Block pairs one after another, as they come sorted."""
-        now, members = None, []
+        """Tasks one after another, as they come sorted."""
+        now, members = b"", []
         for batch in batches:
             for pair, blob in zip(batch.column("task").to_pylist(), batch.column("blob").to_pylist(), strict=True):
                 if pair != now:
-                    yield from _compared(now, members)
+                    if members and (found := _compared(now, members)) is not None:
+                        yield found
                     now, members = pair, []
                 members.append(blob)
-        yield from _compared(now, members)
+        if members and (found := _compared(now, members)) is not None:
+            yield found
 
-    rows = docs.mapInArrow(task(ship), schema).unionByName(nodes.mapInArrow(task(place), schema))
+    rows = docs.mapInArrow(task(ship), schema).unionByName(places.mapInArrow(task(place), schema))
     assigned = deal(rows, n).mapInArrow(task(assign), "pid int, task binary, blob binary")
-    return deal(assigned, n).sortWithinPartitions("task").select("task", "blob").mapInArrow(task(compare), "a long, b long")
+    return deal(assigned, n).sortWithinPartitions("task").select("task", "blob").mapInArrow(task(compare), "a long, b long, node long, mask long")
+
+
+def _main_pivots(masks):
+    """Of one group's masks with their counts: the pivots that hang together and have the most sets."""
+    whole = {}
+    for mask, count in zip(masks["mask"], masks["count"], strict=True):
+        mask, count = int(mask), int(count)
+        for other in [x for x in whole if x & mask]:
+            count += whole.pop(other)
+            mask |= other
+        whole[mask] = whole.get(mask, 0) + count
+    best = max(whole, key=lambda x: (whole[x], x))
+    return masks.iloc[:1][["component"]].assign(pivots=best)
+
+
+def _links(docs: DataFrame, loose: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+    """Edges of true similarity inside the loose groups, a spanning forest of them for each task.
+
+    A group of at most GROUP_BLOCK sets is one task.  In a larger one all sets first meet up to PIVOTS of their
+    own; sets that hang together through pivots need no further look at each other, so only the others are then
+    compared with everyone, block by block.  A group of near-copies costs its size, not its square.  Ends of edges
+    are the sets' smallest documents, so that components of them need no second naming.
+    """
+    sized = loose.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    blocks = F.ceil(F.col("members") / GROUP_BLOCK).cast("long")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    nodes = shared(loose.join(sized, "component").join(sets, F.col("node") == F.col("sig")).select("node", "component", blocks.alias("blocks"), "low").withColumn("block", block))
+    at = lambda i, j, side: (F.lit(i).cast("long").alias("i") if isinstance(i, int) else i.alias("i"), F.lit(j).cast("long").alias("j") if isinstance(j, int) else j.alias("j"), F.lit(side).cast("long").alias("side") if isinstance(side, int) else side.alias("side"))
+    whole = nodes.where("blocks = 1").select("node", "low", "component", *at(0, WHOLE, 0))
+    large = nodes.where("blocks > 1")
+    if not large.limit(1).count():
+        return _met(docs, whole, n).select("a", "b").where("a IS NOT NULL")
+    pivots = large.where(F.col("block") < PIVOTS).groupBy("component", "block", "blocks").agg(F.min(F.struct("node", "low")).alias("p"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    first = large.select("node", "low", "component", *at(F.col("block"), PIVOTED, -1)).unionByName(
+        pivots.select("p.node", "p.low", "component", "block", every.alias("i")).select("node", "low", "component", *at(F.col("i"), PIVOTED, F.col("block")))
+    )
+    met = shared(_met(docs, first.unionByName(whole), n))
+    masks = met.where("node IS NOT NULL").select("node", "mask")
+    grouped = large.join(masks, "node", "left").withColumn("mask", F.coalesce("mask", F.lit(0)))
+    main = grouped.groupBy("component", "mask").count().where("mask <> 0").groupBy("component").applyInPandas(_main_pivots, "component long, pivots long")
+    rest = shared(grouped.join(main, "component", "left").withColumn("alone", F.col("mask").bitwiseAND(F.coalesce("pivots", F.lit(0))) == 0))
+    others = rest.where("alone").groupBy("component").agg(F.count(F.lit(1)).alias("others"))
+    parts = F.ceil(F.col("others") / GROUP_BLOCK).cast("long")
+    asked = rest.join(others, "component").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("low"), parts))
+    against = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    second = asked.select("node", "low", "component", "block", against.alias("j")).select("node", "low", "component", *at(F.col("block"), F.col("j"), -1)).unionByName(
+        asked.where("alone").select("node", "low", "component", "part", every.alias("i")).select("node", "low", "component", *at(F.col("i"), F.col("part"), 0))
+    )
+    return met.select("a", "b").where("a IS NOT NULL").unionByName(_met(docs, second, n).select("a", "b").where("a IS NOT NULL"))
 
 
 def classes(docs: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def noisy(seed, n, base, edits):
     return out
 
 
-@pytest.mark.parametrize("settings", [{"FREQUENT_LEVEL": 2, "BUCKET": 4, "GROUP_BLOCK": 7}, {}])
+@pytest.mark.parametrize("settings", [{"FREQUENT_LEVEL": 2, "BUCKET": 4, "GROUP_BLOCK": 7}, {"FREQUENT_LEVEL": 2, "FREQUENT_MOST": 3, "BUCKET": 2, "GROUP_BLOCK": 3, "PIVOTS": 1}, {}])
 def test_large_groups_and_frequent_tokens(spark, monkeypatch, settings):
     """Near copies around the threshold, and a passage that makes most of many short documents."""
     for k, v in settings.items():
@@ -141,6 +141,19 @@ def test_vectors_edges(spark, sf_dir, duck):
     same_rows(QUERIES["op3_quantised_neighbours"](spark, sf_dir), duck.sql(ORACLES["op3_quantised_neighbours"]))
 
 
+def test_chains_beside_near_copies(spark, monkeypatch):
+    """One loose group: near-copies that pivots hold together, and a chain that only its neighbours do."""
+    monkeypatch.setattr(jaccard, "GROUP_BLOCK", 7)
+    monkeypatch.setattr(jaccard, "BUCKET", 2)
+    words = [f"w{i}" for i in range(400)]
+    chain = [" ".join(words[i : i + 60]) for i in range(0, 240, 6)]
+    copies = [" ".join([*words[:59], f"x{i}"]) for i in range(60)]
+    other = [" ".join([*words[20:60], *(f"y{i}z{k}" for k in range(20))]) for i in range(20)]
+    texts = [*other, *chain, *copies]
+    _, root = classes(texts)
+    assert {r.doc_id: r.component_id for r in jaccard.classes(frame(spark, texts)).collect()} == root
+
+
 def test_copies_of_a_row_without_an_id_go(spark):
     text = " ".join(f"word{i}" for i in range(30))
     docs = frame(spark, [text, text, text, "something else entirely here now"], ids=[None, 3, 4, 5])

@@ -31,7 +31,7 @@ from .kernels import NULL_ID, PACKED, cut, deal, mix, packed, partitions, shared
 THRESHOLD = 0.98
 SAMPLE, ROUNDS = 20_000, 40
 TABLES = 8  # at least
-BUCKET_MEMBERS, BUCKET_BLOCK = 32, 4096
+BUCKET_MEMBERS, BUCKET_BLOCK = 32, 512
 WIDEST = 28  # bits of a substring
 QUESTIONS = 128  # vectors compared with a bucket at a time
 VECTOR = bytes(16) + b"vector"  # begins the row of a vector; a list of entries begins with a bucket's key

@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .kernels import PACKED, flat, id_array, ids_of, packed, shared, task, word_hashes, words_of
+from .kernels import PACKED, bit_filter, flat, id_array, ids_of, packed, shared, task, word_hashes, words_of
 from .repeats import KEY, Units, covered, filters, findings, keyed, partitions, read_findings, union_of, with_texts
 
 LENGTH, GRAM = 20, 8
@@ -91,16 +91,17 @@ def _signed(batch, ranges):
     return pa.record_batch(arrays, ["doc", "doc_id", "start", "n_words", "source", "source_start", "digest"])
 
 
-def _verified(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Paths whose words stand at their source's coordinates too (``docs`` has KEY)."""
+def _verified(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Paths whose words stand at their source's coordinates too, and all paths (``docs`` has KEY)."""
     n = partitions(docs.sparkSession)
     found = shared(covered(docs, UNITS, filters(docs, UNITS, n)))  # read for both ends of the runs
     paths = shared(compacted(found.mapInArrow(_runs, RUNS)))
     sources = paths.select(F.col("source").alias("doc"), F.col("source_start").alias("start"), "n_words").distinct()  # many copies ask for one place
     asked = paths.unionByName(sources.select("doc", "start", "n_words", F.col("doc").alias("source"), F.lit(-1).cast("long").alias("source_start")))
-    signed = shared(with_texts(docs.select(KEY, "doc_id", "text"), asked.mapInArrow(task(_packed_claims(n)), PACKED), n, _signed, SIGNED))
+    wanted = bit_filter(paths.select("doc").union(paths.select("source")))
+    signed = shared(with_texts(docs.select(KEY, "doc_id", "text"), asked.mapInArrow(task(_packed_claims(n)), PACKED), n, _signed, SIGNED, wanted, others=False))
     place = signed.where("source_start < 0").select(F.col("doc").alias("source"), F.col("start").alias("source_start"), "n_words", "digest", F.col("doc_id").alias("source_doc")).distinct()  # rows may repeat
-    return signed.where("source_start >= 0").join(place, ["source", "source_start", "n_words", "digest"]).drop("digest"), n
+    return signed.where("source_start >= 0").join(place, ["source", "source_start", "n_words", "digest"]).drop("digest"), paths, n
 
 
 def paths(docs: DataFrame) -> DataFrame:
@@ -108,9 +109,10 @@ def paths(docs: DataFrame) -> DataFrame:
     return _verified(keyed(docs.select("doc_id", "text")))[0].select("doc_id", "start", "n_words", "source_doc", "source_start").distinct()
 
 
-def _found(docs: DataFrame) -> tuple[DataFrame, int]:
-    verified, n = _verified(docs)
-    return verified.mapInArrow(task(_packed_claims(n)), PACKED), n
+def _finished(docs: DataFrame, finish, schema) -> DataFrame:
+    """``finish`` on all documents with their verified paths; a document without a path stays where it is read."""
+    verified, paths, n = _verified(docs)
+    return with_texts(docs, verified.mapInArrow(task(_packed_claims(n)), PACKED), n, finish, schema, bit_filter(paths.select("doc")))
 
 
 def _kept(batch, ranges):
@@ -130,20 +132,18 @@ def _kept(batch, ranges):
 
 def digest(docs: DataFrame) -> DataFrame:
     docs = keyed(docs.select("doc_id", "text"))
-    found, n = _found(docs)
 
     def finish(batch, ranges):
         rows = [(w, r, hashlib.sha256(kept).hexdigest()) for w, r, kept in _kept(batch, ranges)]
         words, removed, sha = zip(*rows, strict=True)
         return pa.record_batch([id_array(ids_of(batch)), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return with_texts(docs, found, n, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _finished(docs, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """The same rows; the text of documents that lose words is what is left, joined by one space."""
     schema, docs = docs.schema, keyed(docs)
-    found, n = _found(docs)
 
     def finish(batch, ranges):
         texts = batch.column("text")
@@ -152,7 +152,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
         at = batch.schema.get_field_index("text")
         return batch.set_column(at, batch.schema.field(at), pc.if_else(same, texts, pa.array(new, texts.type))).drop_columns([KEY])
 
-    return with_texts(docs, found, n, finish, schema)
+    return _finished(docs, finish, schema)
 
 
 def oracle() -> str:

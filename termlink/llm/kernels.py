@@ -22,6 +22,7 @@ from ..sources.stored import stored
 NULL_ID = -(2**63)  # stands for a null doc_id inside a kernel
 BLOCK_BYTES = 1 << 20  # working arrays take some sixty bytes for each byte of a block
 PACKED = "pid int, blob binary"
+FILTER_BITS = 1 << 26
 
 _U = np.uint64
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library's, where it has one
@@ -179,5 +180,27 @@ def shared(frame: DataFrame) -> DataFrame:
     return stored(frame)
 
 
+def bit_filter(keys: DataFrame) -> np.ndarray:
+    """Bits at the remainders of the one long column of ``keys``, FILTER_BITS of them whatever their number; a full
+    filter says yes to everything."""
+    bit = F.pmod(F.col(keys.columns[0]), F.lit(FILTER_BITS))
+    bits = keys.select(F.floor(bit / 8).cast("int").alias("at"), F.pmod(bit, F.lit(8)).cast("int").alias("by")).groupBy("at").agg(F.bit_or(F.expr("shiftleft(1, by)")).alias("mask"))
+
+    def region(batches):
+        for batch in batches:
+            at, mask = np.asarray(batch.column("at")), np.asarray(batch.column("mask")).astype(np.uint8)
+            yield pa.record_batch([pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([mask.tobytes()], pa.binary())], ["at", "mask"])
+
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in bits.mapInArrow(task(region), "at binary, mask binary").collect():  # at most FILTER_BITS / 8 places together
+        out[np.frombuffer(row["at"], "<i4")] = np.frombuffer(row["mask"], np.uint8)
+    return out
+
+
+def in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    bit = keys % FILTER_BITS
+    return (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.order import numbered
-from .kernels import PACKED, cut, deal, flat, ids_of, mix, packed, partitions, task, text_blocks
+from .kernels import PACKED, cut, deal, flat, ids_of, in_filter, mix, packed, partitions, task, text_blocks
 from .skeleton import Blocks, blocks
 
 FILTER_BITS_EACH = 1 << 20  # per shuffle partition
@@ -305,19 +305,34 @@ def _ipc(batch: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def with_texts(docs: DataFrame, found_rows: DataFrame, n: int, finish, schema) -> DataFrame:
+def with_texts(docs: DataFrame, found_rows: DataFrame, n: int, finish, schema, wanted: np.ndarray | None = None, others: bool = True) -> DataFrame:
     """Brings texts and findings of a document together and calls ``finish(batch, ranges)`` on batches of ``docs``.
 
-    ``ranges`` maps a document's KEY to its (start, end, source, source_start) rows, in no order.
+    ``ranges`` maps a document's KEY to its (start, end, source, source_start) rows, in no order.  With ``wanted``,
+    a filter over KEYs that have findings, only such texts travel; the ``others`` are finished where they are read.
     """
+    sent = None if wanted is None else docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def blocks(batches, hit: bool = True):
+        for block in text_blocks(batches):
+            if sent is not None:
+                at = np.flatnonzero(in_filter(sent.value, ids_of(block, KEY)) == hit)
+                if not len(at):
+                    continue
+                block = block.take(pa.array(at)) if len(at) < block.num_rows else block
+            yield block
 
     def place(batches):
         """Texts by document, many in one compressed row."""
-        for block in text_blocks(batches):
+        for block in blocks(batches):
             order, ends = cut(_doc_pid(ids_of(block, KEY), n), n)
             full = np.flatnonzero(np.diff(ends)).tolist()
             yield packed(full, [TEXTS + _ipc(block.take(pa.array(order[ends[p] : ends[p + 1]]))) for p in full])
 
+    def untouched(batches):
+        for block in blocks(batches, hit=False):
+            yield finish(block, lambda key: [np.zeros(0, np.int64)] * 4)
+
     rows = docs.mapInArrow(task(place), PACKED).unionByName(found_rows)
 
     def run(batches):
@@ -340,7 +355,8 @@ def with_texts(docs: DataFrame, found_rows: DataFrame, n: int, finish, schema) -
             for part in text_blocks([held.pop()]):
                 yield finish(part, ranges)
 
-    return deal(rows, n).mapInArrow(task(run), schema)
+    met = deal(rows, n).mapInArrow(task(run), schema)
+    return met if sent is None or not others else met.unionByName(docs.mapInArrow(task(untouched), schema))
 
 
 def union_of(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -23,6 +23,7 @@ no rows; other columns pass through ``drop_repeats`` untouched.
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from .repeats import KEY, Units, covered, filters, findings, keyed, partitions,
 
 LENGTH, GRAM = 20, 8
 RUNS = "doc long, source long, shift long, first long, last long"
-SIGNED = "doc long, doc_id long, start long, n_words long, source long, source_start long, digest binary"
+SIGNED = "doc long, doc_id long, start long, n_words long, source long, source_start long, d1 long, d2 long"
 _ALONG = ["doc", "source", "shift"]
 
 
@@ -85,14 +86,14 @@ def _signed(batch, ranges):
     for key, doc, base in zip(ids_of(batch, KEY).tolist(), ids_of(batch).tolist(), first[:-1].tolist(), strict=True):
         for a, b, source, source_start in zip(*(c.tolist() for c in ranges(key)), strict=True):
             words = b" ".join([raw[s:e] for s, e in zip(starts[base + a : base + b].tolist(), ends[base + a : base + b].tolist(), strict=True)])
-            rows.append((key, doc, a, b - a, source, source_start, hashlib.blake2b(words, digest_size=16).digest()))
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-    arrays = [pa.array(columns[0], pa.int64()), id_array(np.array(columns[1], np.int64)), *(pa.array(c, pa.int64()) for c in columns[2:6]), pa.array(columns[6], pa.binary())]
-    return pa.record_batch(arrays, ["doc", "doc_id", "start", "n_words", "source", "source_start", "digest"])
+            rows.append((key, doc, a, b - a, source, source_start, *struct.unpack("<2q", hashlib.blake2b(words, digest_size=16).digest())))
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
+    arrays = [pa.array(columns[0], pa.int64()), id_array(np.array(columns[1], np.int64)), *(pa.array(c, pa.int64()) for c in columns[2:])]
+    return pa.record_batch(arrays, ["doc", "doc_id", "start", "n_words", "source", "source_start", "d1", "d2"])
 
 
-def _verified(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Paths whose words stand at their source's coordinates too, and all paths (``docs`` has KEY)."""
+def _verified(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Paths whose words stand at their source's coordinates too, all paths, and their digests (``docs`` has KEY)."""
     n = partitions(docs.sparkSession)
     found = shared(covered(docs, UNITS, filters(docs, UNITS, n)))  # read for both ends of the runs
     paths = shared(compacted(found.mapInArrow(_runs, RUNS)))
@@ -100,18 +101,31 @@ def _verified(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     asked = paths.unionByName(sources.select("doc", "start", "n_words", F.col("doc").alias("source"), F.lit(-1).cast("long").alias("source_start")))
     wanted = bit_filter(paths.select("doc").union(paths.select("source")))
     signed = shared(with_texts(docs.select(KEY, "doc_id", "text"), asked.mapInArrow(task(_packed_claims(n)), PACKED), n, _signed, SIGNED, wanted, others=False))
-    place = signed.where("source_start < 0").select(F.col("doc").alias("source"), F.col("start").alias("source_start"), "n_words", "digest", F.col("doc_id").alias("source_doc")).distinct()  # rows may repeat
-    return signed.where("source_start >= 0").join(place, ["source", "source_start", "n_words", "digest"]).drop("digest"), paths, n
+    claims = signed.where("source_start >= 0")
+    at = F.when(F.col("source_start") < 0, F.col("start")).otherwise(F.col("source_start"))
+    alike = [F.min(c) == F.max(c) for c in ("d1", "d2")]  # all copies of a place at once, summed up before they meet
+    odd = signed.groupBy("source", at.alias("at"), "n_words").agg((alike[0] & alike[1] & (F.min("source_start") < 0)).alias("alike")).where("NOT alike")
+    if odd.limit(1).count():  # names of different words that collide; each claim is held against its source
+        claims = claims.join(_sources(signed), ["source", "source_start", "n_words", "d1", "d2"], "left_semi")
+    return claims, paths, signed, n
+
+
+def _sources(signed: DataFrame) -> DataFrame:
+    """Digests and doc_ids at the sources' coordinates; rows may repeat in the texts."""
+    place = [F.col("doc").alias("source"), F.col("start").alias("source_start"), "n_words", "d1", "d2", F.col("doc_id").alias("source_doc")]
+    return signed.where("source_start < 0").select(*place).distinct()
 
 
 def paths(docs: DataFrame) -> DataFrame:
     """Verified paths: doc_id, start and words of each, and where its words stand first."""
-    return _verified(keyed(docs.select("doc_id", "text")))[0].select("doc_id", "start", "n_words", "source_doc", "source_start").distinct()
+    verified, _, signed, _ = _verified(keyed(docs.select("doc_id", "text")))
+    named = verified.join(_sources(signed), ["source", "source_start", "n_words", "d1", "d2"])
+    return named.select("doc_id", "start", "n_words", "source_doc", "source_start").distinct()
 
 
 def _finished(docs: DataFrame, finish, schema) -> DataFrame:
     """``finish`` on all documents with their verified paths; a document without a path stays where it is read."""
-    verified, paths, n = _verified(docs)
+    verified, paths, _, n = _verified(docs)
     return with_texts(docs, verified.mapInArrow(task(_packed_claims(n)), PACKED), n, finish, schema, bit_filter(paths.select("doc")))
 
 

@@ -173,3 +173,22 @@ def test_runs_compact_into_paths(spark):
     found = debruijn.compacted(spark.createDataFrame(rows, debruijn.RUNS))
     more = debruijn.LENGTH - 1
     assert sorted(map(tuple, found.collect())) == [(1, 10, 6 + more, 0, 15), (1, 16, 2 + more, 0, 22), (1, 20, 1 + more, 0, 25), (2, 15, 4 + more, 0, 20)]
+
+
+def test_colliding_names_take_no_words(spark, monkeypatch):
+    """Where names of different words collide, the words at the source's coordinates keep a path from counting."""
+
+    def crude(buf, offsets):
+        symbols, first = debruijn._symbols(buf, offsets)
+        return symbols & np.uint64(1), first  # two kinds of words
+
+    monkeypatch.setattr(debruijn, "UNITS", Units(crude, debruijn.LENGTH, debruijn.GRAM, 1 << 20))
+    rng = random.Random(1)
+    texts = [" ".join(f"word{rng.randrange(10**6)}" for _ in range(60)) for _ in range(300)] + [" ".join(["same"] * 30)] * 2
+    texts += [" ".join(["alpha"] * 40), " ".join(["beta"] * 40), " ".join(["gamma"] * 40), " ".join(["delta"] * 40)]
+    words = [t.split() for t in texts]
+    gone = covered(list(enumerate(words)), debruijn.LENGTH)
+    for r in debruijn.digest(frame(spark, texts)).collect():
+        assert r.n_removed <= sum(gone[r.doc_id])
+    for r in debruijn.paths(frame(spark, texts)).collect():
+        assert words[r.doc_id][r.start : r.start + r.n_words] == words[r.source_doc][r.source_start : r.source_start + r.n_words]

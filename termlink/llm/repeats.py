@@ -65,7 +65,11 @@ def _places(anchor: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _first_of(keys: np.ndarray, doc: np.ndarray, start: np.ndarray):
-    """For each entry: the document and start of the earliest entry with its key."""
+    """For each entry: the document and start of an earlier entry with its key, or its own if it is the earliest.
+
+    That is the one before in the same document, where there is one (so a text that goes on repeating itself keeps in
+    step with one source), else the earliest of all.  A document's entries come together, in rising order.
+    """
     order = np.argsort(keys, kind="stable")
     k, d, s = keys[order], doc[order], start[order]
     begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
@@ -74,8 +78,11 @@ def _first_of(keys: np.ndarray, doc: np.ndarray, start: np.ndarray):
     group = np.repeat(np.arange(len(begin)), np.diff(np.concatenate([begin, [len(k)]])))
     low = np.minimum.reduceat(d, begin)
     at = np.minimum.reduceat(np.where(d == low[group], s, np.iinfo(np.int64).max), begin)
+    source, place = low[group], at[group]
+    step = np.flatnonzero((k[1:] == k[:-1]) & (d[1:] == d[:-1]) & (s[1:] > s[:-1])) + 1
+    source[step], place[step] = d[step - 1], s[step - 1]
     first_doc, first_start = np.empty_like(doc), np.empty_like(start)
-    first_doc[order], first_start[order] = low[group], at[group]
+    first_doc[order], first_start[order] = source, place
     return first_doc, first_start
 
 

@@ -13,18 +13,20 @@ from ..params import GENERIC_HEADS, GREEK, ROMAN, ROMAN_TRIGGERS, STOPWORDS, TEM
 _NOT_ASCII = r"[^\x00-\x7F]"
 
 
+class _Spelled(dict):
+    """For ``str.translate``: Greek letters spelled out, combining marks removed; fills itself as characters come."""
+
+    def __missing__(self, point: int) -> str | int | None:
+        c = chr(point)
+        self[point] = GREEK.get(c, None if unicodedata.combining(c) else point)
+        return self[point]
+
+
 @F.pandas_udf(StringType())
 def _decompose(text: pd.Series) -> pd.Series:
     """Compatibility decomposition, Greek letters spelled out, combining marks removed."""
-    greek = str.maketrans(GREEK)
-
-    def one(value: str | None) -> str | None:
-        if value is None:
-            return None
-        spelled = unicodedata.normalize("NFKD", value).translate(greek)
-        return "".join(c for c in spelled if unicodedata.combining(c) == 0)
-
-    return text.map(one)
+    spelled = _Spelled()
+    return text.map(lambda value: None if value is None else unicodedata.normalize("NFKD", value).translate(spelled))
 
 
 def tokens(text: Column) -> Column:

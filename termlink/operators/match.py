@@ -1,12 +1,15 @@
 """Terms in labels, by three extractors with a fixed precedence.
 
-Equal (id, label) rows are matched once and come back as often as they stood.  ``match_all`` reads, groups
-and normalises labels once, stores them under a row number, and carries that number instead of the text
-until the end.  Joins are equi-joins on index forms; Spark broadcasts an index when its measured size allows.
+Equal (id, label) rows come back as often as they stood.  Joins are equi-joins on index forms.  An index is stored
+and measured first: a small one is sent to every task, so that labels are matched where they are read and only
+what matches travels; with a larger one labels are grouped, stored under a row number and dealt out by token.
+Labels themselves are never broadcast, whatever size Spark expects them to have.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import normalise, slot_spellings, template_slot, tokens
@@ -14,9 +17,34 @@ from ..sources.stored import stored
 from .index import Matcher
 
 METHODS = ("template", "whole_form", "alias")
+BROADCAST_BYTES = 8 << 20  # of an index that is sent to every task
 _KEY = ["pathwayId", "pathwayLabel"]
 
 
+@dataclass(frozen=True)
+class Lookup:
+    """A stored index, the fewest and most tokens that a form of it has, and whether every task may hold it."""
+
+    index: DataFrame
+    shortest: int
+    longest: int
+    small: bool
+
+    def join(self, rows: DataFrame, on: str | list[str], table: DataFrame | None = None) -> DataFrame:
+        """Rows with what the index, or a table of no more rows made from it, has for them."""
+        table = self.index if table is None else table
+        return rows.join(F.broadcast(table) if self.small else table.hint("merge"), on)
+
+
+def lookup(index: DataFrame) -> Lookup:
+    """Stores and measures an index; that runs jobs."""
+    held = stored(index)
+    width = F.coalesce(F.octet_length("form"), F.lit(0)) + F.coalesce(F.octet_length("diseaseId"), F.lit(0)) + 64
+    tokens_of_form = F.size(F.split("form", " "))
+    size, shortest, longest = held.agg(F.sum(width.cast("long")), F.min(tokens_of_form), F.max(tokens_of_form)).first()
+    return Lookup(held, shortest or 1, longest or 1, (size or 0) <= BROADCAST_BYTES)
+
+
 def labels_of(labels: DataFrame) -> DataFrame:
     """Distinct labels with their copies; a null label matches nothing."""
     named = labels.select(F.col("id").alias("pathwayId"), F.col("label").alias("pathwayLabel")).where("pathwayLabel IS NOT NULL")
@@ -34,32 +62,34 @@ def slot_candidates(labels: DataFrame, key: list[str] = _KEY) -> DataFrame:
     return forms.where("form <> ''").groupBy(*key, "form").agg(F.min("pos").alias("pos"))
 
 
-def template_matches(labels: DataFrame, index: DataFrame, key: list[str] = _KEY) -> DataFrame:
+def template_matches(labels: DataFrame, index: DataFrame | Lookup, key: list[str] = _KEY) -> DataFrame:
     """The least ambiguous, then longest, then first spelling that the index knows, for all its terms."""
-    sizes = index.select("form", "nIds").distinct()
-    best = slot_candidates(labels, key).join(sizes, "form").groupBy(*key).agg(F.min_by("form", F.struct("nIds", -F.length("form"), "pos")).alias("form"))
-    return best.join(index, "form").select(*key, "diseaseId", F.lit("template").alias("method"), F.col("form").alias("matchedText"), F.col("nIds").alias("nDiseases"), F.lit(0).alias("size"), F.lit(0).alias("start"))
+    known = index if isinstance(index, Lookup) else lookup(index)
+    sized = known.join(slot_candidates(labels, key), "form", known.index.select("form", "nIds").distinct())
+    best = sized.groupBy(*key).agg(F.min_by("form", F.struct("nIds", -F.length("form"), "pos")).alias("form"))
+    return known.join(best, "form").select(*key, "diseaseId", F.lit("template").alias("method"), F.col("form").alias("matchedText"), F.col("nIds").alias("nDiseases"), F.lit(0).alias("size"), F.lit(0).alias("start"))
 
 
-def _placed(worded: DataFrame, index: DataFrame, key: list[str]) -> DataFrame:
+def _placed(worded: DataFrame, known: Lookup, key: list[str]) -> DataFrame:
     """Where forms of an index (form, method, ...) stand in labels as consecutive tokens.
 
-    Windows are cut only where a form of that first token and size exists, and a token travels with as many
-    of its followers as the longest form has, so long labels stay linear.
+    Windows are cut only where a form of that size begins with the token and the one after it, and a token
+    travels with as many of its followers as the longest form has, so long labels stay linear.
     """
     words = F.split("form", " ")
-    shapes = index.select(words[0].alias("token"), F.size(words).alias("size")).distinct()
-    longest = shapes.agg(F.coalesce(F.max("size"), F.lit(1)).alias("longest"))
-    ahead = F.transform(F.sequence(F.lit(1), F.size("words")), lambda i: F.slice("words", i, F.col("longest")))
-    begun = worded.where(F.size("words") > 0).join(F.broadcast(longest)).select(*key, F.posexplode(ahead).alias("start", "ahead"))  # one row
-    cut = begun.withColumn("token", F.col("ahead")[0]).join(shapes, "token").where(F.col("size") <= F.size("ahead"))
+    heads = known.index.select(words[0].alias("token"), F.coalesce(F.get(words, F.lit(1)), F.lit("")).alias("second"), F.size(words).alias("size")).distinct()
+    begun = worded.select(*key, "words", F.explode(F.transform("words", lambda _, i: i)).alias("start"))
+    after = [F.get("words", F.col("start") + 1)] * (known.longest > 1) + [F.lit("")] * (known.shortest == 1)  # forms of one token have none
+    second = F.explode(F.array(*after)) if len(after) > 1 else after[0]
+    begun = begun.select(*key, "start", F.get("words", F.col("start")).alias("token"), second.alias("second"), F.slice("words", F.col("start") + 1, F.lit(known.longest)).alias("ahead"))
+    cut = known.join(begun, ["token", "second"], heads).where(F.col("size") <= F.size("ahead"))
     spanned = cut.select(*key, "start", "size", F.array_join(F.slice("ahead", F.lit(1), F.col("size")), " ").alias("form"))
-    return spanned.join(index, "form").select(*key, "diseaseId", "method", F.col("form").alias("matchedText"), F.col("nIds").alias("nDiseases"), "size", "start")
+    return known.join(spanned, "form").select(*key, "diseaseId", "method", F.col("form").alias("matchedText"), F.col("nIds").alias("nDiseases"), "size", "start")
 
 
 def whole_form_matches(worded: DataFrame, index: DataFrame, key: list[str] = _KEY) -> DataFrame:
     """Forms that stand in a label as consecutive tokens."""
-    return _placed(worded, index.withColumn("method", F.lit("whole_form")), key)
+    return _placed(worded, lookup(index.withColumn("method", F.lit("whole_form"))), key)
 
 
 def alias_matches(worded: DataFrame, index: DataFrame, key: list[str] = _KEY) -> DataFrame:
@@ -75,11 +105,26 @@ def first_offers(offers: DataFrame, key: list[str] = _KEY) -> DataFrame:
     return offers.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n", "size", "start")
 
 
+def _copied(found: DataFrame) -> DataFrame:
+    return found.select(*_KEY, "diseaseId", "method", "matchedText", "nDiseases", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_")).drop("_")
+
+
 def match_all(labels: DataFrame, matcher: Matcher) -> DataFrame:
-    """All three extractors over the labels; storing these runs a job."""
+    """All three extractors over the labels; storing the indexes, and labels where an index is large, runs jobs."""
+    tagged = matcher.whole_form.withColumn("method", F.lit("whole_form")).unionByName(matcher.alias.withColumn("method", F.lit("alias")))
+    forms, slots = lookup(tagged.dropDuplicates(["method", "form", "diseaseId"])), lookup(matcher.slot)
+    if not (forms.small and slots.small):
+        return _match_numbered(labels, forms, slots)
+    templated = labels_of(labels.where(template_slot(F.col("label")).isNotNull()))
+    named = labels.select(F.col("id").alias("pathwayId"), F.col("label").alias("pathwayLabel")).where("pathwayLabel IS NOT NULL")
+    placed = _placed(label_tokens(named), forms, _KEY)
+    placed = placed.groupBy(*placed.columns).agg(F.count(F.lit(1)).alias("copies"))  # a label offers each of these once
+    return _copied(first_offers(template_matches(templated, slots, [*_KEY, "copies"]).unionByName(placed)))
+
+
+def _match_numbered(labels: DataFrame, forms: Lookup, slots: Lookup) -> DataFrame:
+    """The same for any size of index: a row number travels instead of the text."""
     row = ["_row"]
     held = stored(label_tokens(labels_of(labels)).withColumn("_row", F.monotonically_increasing_id()))
-    tagged = matcher.whole_form.withColumn("method", F.lit("whole_form")).unionByName(matcher.alias.withColumn("method", F.lit("alias")))
-    offers = template_matches(held, matcher.slot, row).unionByName(_placed(held, tagged, row))
-    found = first_offers(offers, row).join(held.select("_row", *_KEY, "copies"), "_row")
-    return found.select(*_KEY, "diseaseId", "method", "matchedText", "nDiseases", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_")).drop("_")
+    offers = template_matches(held, slots, row).unionByName(_placed(held, forms, row))
+    return _copied(first_offers(offers, row).join(held.select("_row", *_KEY, "copies"), "_row"))

@@ -95,7 +95,7 @@ def whole_form_matches(worded: DataFrame, index: DataFrame, key: list[str] = _KE
 def alias_matches(worded: DataFrame, index: DataFrame, key: list[str] = _KEY) -> DataFrame:
     """Aliases that are one of a label's tokens."""
     placed = worded.select(*key, F.posexplode("words").alias("start", "form"))
-    return placed.join(index, "form").select(*key, "diseaseId", F.lit("alias").alias("method"), F.col("form").alias("matchedText"), F.col("nIds").alias("nDiseases"), F.lit(1).alias("size"), "start")
+    return lookup(index).join(placed, "form").select(*key, "diseaseId", F.lit("alias").alias("method"), F.col("form").alias("matchedText"), F.col("nIds").alias("nDiseases"), F.lit(1).alias("size"), "start")
 
 
 def first_offers(offers: DataFrame, key: list[str] = _KEY) -> DataFrame:

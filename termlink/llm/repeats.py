@@ -13,8 +13,10 @@ reaches an exchange once per task, not once per document.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -110,15 +112,30 @@ def _from_planes(blob: bytes, n: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Filters:
-    """Which anchors occur again, and which of these branch."""
+    """Which anchors occur again, and which of these branch: a compressed bit field for each partition that has any.
 
-    again: bytes
-    several: bytes
+    The fields have room for many anchors, so with few they are almost empty; whole they stand in the workers only.
+    """
+
+    again: dict[int, bytes]
+    several: dict[int, bytes]
     bits: int
     parts: int
 
-    def tables(self):
-        return np.frombuffer(self.again, np.uint8), np.frombuffer(self.several, np.uint8)
+    def _whole(self, fields: dict[int, bytes]) -> np.ndarray:
+        width = -(-(-(-self.bits // self.parts)) // 8)
+        out = np.zeros(width * self.parts, np.uint8)
+        for part, field in fields.items():
+            out[part * width : (part + 1) * width] = np.frombuffer(zlib.decompress(field), np.uint8)
+        return out
+
+    @cached_property
+    def _tables(self) -> tuple[np.ndarray, np.ndarray]:
+        return self._whole(self.again), self._whole(self.several)
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """Both fields; a worker unpacks them once and keeps them for its next task."""
+        return self._tables
 
     def holds(self, table: np.ndarray, anchor: np.ndarray) -> np.ndarray:
         each = -(-self.bits // self.parts)
@@ -190,16 +207,12 @@ def filters(docs: DataFrame, units: Units, n: int) -> Filters:
         for hit in (again, several):
             flags = np.zeros(each, bool)
             flags[local[begin[hit]]] = True
-            out.append(np.packbits(flags, bitorder="little").tobytes())
+            out.append(zlib.compress(np.packbits(flags, bitorder="little").tobytes(), 1))
         yield pa.record_batch([pa.array(pids[:1], pa.int32()), pa.array(out[:1], pa.binary()), pa.array(out[1:], pa.binary())], ["pid", "again", "several"])
 
-    width = -(-each // 8)
     found = deal(docs.select(KEY, "text").mapInArrow(task(count), PACKED), n).mapInArrow(task(settle), "pid int, again binary, several binary")
-    again, several = bytearray(width * n), bytearray(width * n)
-    for row in found.collect():  # two bit fields for each partition, of bounded size together
-        again[row.pid * width : (row.pid + 1) * width] = row.again
-        several[row.pid * width : (row.pid + 1) * width] = row.several
-    return Filters(bytes(again), bytes(several), bits, n)
+    rows = found.collect()  # two bit fields for each partition, of bounded size together
+    return Filters({r.pid: bytes(r.again) for r in rows}, {r.pid: bytes(r.several) for r in rows}, bits, n)
 
 
 def _doc_pid(doc: np.ndarray, n: int) -> np.ndarray:

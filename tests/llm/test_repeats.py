@@ -192,3 +192,12 @@ def test_colliding_names_take_no_words(spark, monkeypatch):
         assert r.n_removed <= sum(gone[r.doc_id])
     for r in debruijn.paths(frame(spark, texts)).collect():
         assert words[r.doc_id][r.start : r.start + r.n_words] == words[r.source_doc][r.source_start : r.source_start + r.n_words]
+
+
+def test_few_anchors_take_little_of_the_driver(docs):
+    """The fields of 256 partitions hold 64 MB; with a few texts hardly any of it passes the driver."""
+    import pickle
+
+    known = repeats.filters(repeats.keyed(docs), debruijn.UNITS, 256)
+    assert len(pickle.dumps(known)) < 1 << 20
+    assert [len(t) for t in known.tables()] == [1 << 25] * 2 and all(t.any() for t in known.tables())
